@@ -1,2 +1,26 @@
-QUERIES = {}
-SQL = {}
+"""Queries of the problems on entities and text, and their SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerloom.llm.addresses import same_places
+from ledgerloom.llm.entity_match import match
+from ledgerloom.session import table
+
+
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with the strongest rule they meet and its confidence."""
+    return match(*(table(spark, d, t) for t in ("directory_listing", "organisation", "organisation_identifier", "org_location", "observation")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_matches(spark, d).select("org_id", "listing_id")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_places(table(spark, d, "org_location"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p4_found)}
+SQL: dict[str, str] = {}

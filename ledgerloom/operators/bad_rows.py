@@ -27,6 +27,8 @@ EXTENSION = r"(?i)[\s,;]*(ext|x)\.?:?\s*\d+$"
 PHONE_CHARS = r"^[0-9+().\-/\s]*$"
 SCHEMA = "run_id string, line_no int, reason string, name string, email string, phone string, fields array<string>"
 BLOCK = 4096
+#: A failing block of no more records than this is read strictly at once: bisecting it further costs more than that.
+LEAF = 24
 MAX_BLOCK_BYTES = 16 << 20
 
 
@@ -133,13 +135,12 @@ def parse_block(records: list[str], sep: str, width: int, at: dict[str, int]) ->
     todo = [(0, len(records))]
     while todo:
         lo, hi = todo.pop()
-        if hi - lo == 1:
-            out[lo] = diagnose(records[lo], sep, width, at)
-            continue
-        columns = _block_ok(records[lo:hi], sep, width, at)
+        columns = _block_ok(records[lo:hi], sep, width, at) if hi - lo > 1 else None
         if columns is not None:
             for k, fields in enumerate(zip(*columns)):
                 out[lo + k] = (None, list(fields))
+        elif hi - lo <= LEAF:
+            out[lo:hi] = [diagnose(r, sep, width, at) for r in records[lo:hi]]
         else:
             mid = (lo + hi) // 2
             todo += [(lo, mid), (mid, hi)]

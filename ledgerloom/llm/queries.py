@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.addresses import same_places
 from ledgerloom.llm.entity_match import match
+from ledgerloom.llm.groups import PLACEHOLDERS, golden_records, groups, merge_sets, surviving_facts
 from ledgerloom.session import table
 
 
@@ -18,9 +19,49 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_matches(spark, d).select("org_id", "listing_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return groups(table(spark, d, "entity_match_candidate"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return surviving_facts(table(spark, d, "fact_assertion"), merge_sets(table(spark, d, "organisation")))
+
+
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    """One surviving organisation record per set of merged organisations."""
+    organisations = table(spark, d, "organisation")
+    return golden_records(organisations, merge_sets(organisations))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return same_places(table(spark, d, "org_location"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p4_found)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p3_found, p3_records, p4_found)}
+
+_PLACEHOLDERS = ", ".join(f"'{x}'" for x in PLACEHOLDERS)
+
+SQL: dict[str, str] = {
+    "p2_found": r"""WITH RECURSIVE rows AS (
+  SELECT least(organisation_a_id, organisation_b_id) AS a, greatest(organisation_a_id, organisation_b_id) AS b,
+         regexp_replace(lower(trim(match_state)), '[\s_\-]+', '_', 'g') AS state, updated_at, candidate_id
+  FROM entity_match_candidate WHERE trim(organisation_a_id) <> '' AND trim(organisation_b_id) <> '' AND organisation_a_id <> organisation_b_id),
+last AS (SELECT a, b, state FROM rows QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY updated_at DESC NULLS LAST, candidate_id DESC) = 1),
+links AS (SELECT a, b FROM last WHERE state IN ('exact', 'high_confidence_probable')),
+arcs AS (SELECT a AS u, b AS v FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT u AS id, u AS seen FROM arcs UNION SELECT r.id, a.v FROM reach r JOIN arcs a ON r.seen = a.u)
+SELECT id AS org_id, min(seen) AS group_id FROM reach GROUP BY id""",
+    "p3_found": rf"""WITH RECURSIVE links AS (
+  SELECT org_id, min(CASE WHEN trim(merged_into_id) <> '' THEN merged_into_id END) AS parent FROM organisation GROUP BY org_id),
+known AS (SELECT l.org_id, p.org_id AS up FROM links l LEFT JOIN links p ON l.parent = p.org_id),
+climb AS (SELECT org_id, org_id AS here, [org_id] AS seen, false AS looped FROM known
+          UNION ALL SELECT c.org_id, k.up, list_append(c.seen, k.up), list_contains(c.seen, k.up)
+          FROM climb c JOIN known k ON c.here = k.org_id WHERE k.up IS NOT NULL AND NOT c.looped),
+tops AS (SELECT org_id, arg_max(here, len(seen)) AS root_org_id, bool_or(looped) AS looped FROM climb GROUP BY org_id),
+members AS (SELECT org_id, root_org_id FROM tops WHERE NOT looped QUALIFY count(*) OVER (PARTITION BY root_org_id) > 1),
+good AS (SELECT m.root_org_id, f.* FROM fact_assertion f JOIN members m USING (org_id)
+         WHERE lower(trim(f.status)) IS DISTINCT FROM 'disproven' AND trim(f.value) <> ''
+         AND regexp_replace(lower(trim(f.value)), '\s+', ' ', 'g') NOT IN ({_PLACEHOLDERS}) AND NOT regexp_full_match(f.value, '[0\W_]+'))
+SELECT root_org_id, predicate, assertion_id FROM good QUALIFY row_number() OVER (PARTITION BY root_org_id, predicate
+  ORDER BY authority_score DESC NULLS LAST, last_observed_at DESC NULLS LAST, assertion_id) = 1""",
+}

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.addresses import same_places
 from ledgerloom.llm.entity_match import match
 from ledgerloom.llm.groups import PLACEHOLDERS, golden_records, groups, merge_sets, surviving_facts
+from ledgerloom.llm.leakage import leaked_items
+from ledgerloom.llm.mojibake import repaired
 from ledgerloom.session import table
 
 
@@ -37,7 +39,25 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return same_places(table(spark, d, "org_location"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p3_found, p3_records, p4_found)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_passages(spark, d).select("doc_id", "item_id")
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items with the share found and where the passage stands in the original text."""
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return repaired(table(spark, d, "documents")).where("garbled").select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The affected documents with their text as far as it can be restored and the number of garbled spans."""
+    return repaired(table(spark, d, "documents")).where("garbled").selectExpr("doc_id", "text", "size(spans) as n_spans")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p3_found, p3_records, p4_found, p8_found, p8_passages, p10_found, p10_restored)}
 
 _PLACEHOLDERS = ", ".join(f"'{x}'" for x in PLACEHOLDERS)
 

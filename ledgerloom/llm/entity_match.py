@@ -2,7 +2,7 @@
 
 Each rule is an equi-join of listings and organisations on some attributes; rules run from the strongest combination to
 the weakest, and a pair found by an earlier rule is anti-joined away from the later ones, so that its confidence is that
-of the strongest rule it meets. A typing error is met by exact joins too, on keys with one letter dropped.
+of the strongest rule it meets. A typing error is met by exact joins too, on the first and on the last letters, one of which it leaves as they are.
 
 The confidence of a rule is its precision on labelled pairs, smoothed. Labels come from evidence the rules do not join
 on: a registration hint that agrees with one of the organisation's identifiers, or one that fits none of them.
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.gazetteer import complete_places
-from ledgerloom.llm.spelling import address_parts, name_parts, one_edit, shortened, state_of, town_of
+from ledgerloom.llm.spelling import address_parts, affixes, name_parts, one_edit, state_of, town_of
 from ledgerloom.session import Stash
 
 PHONE_DIGITS = 9
@@ -62,34 +62,22 @@ def hint_fits(hint: Column, value: Column) -> Column:
     return F.when(hint.endswith("***"), value.startswith(digits)).otherwise(value.endswith(digits))
 
 
-def _rules() -> list[tuple[str, list[str], list[str], Column]]:
-    """Name, keys of the listing, keys of the organisation (same length), and what else must hold.
+def _key(*columns: Column) -> Column:
+    return F.xxhash64(*columns)
 
-    ``s_drop``/``o_drop`` are exploded keys with at most one letter dropped; l and o are the aliases of the sides.
-    """
-    l_, o_ = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"o.{c}"))
-    stem = one_edit(l_("stem"), o_("stem"))
-    far_stem = F.levenshtein(l_("stem"), o_("stem")) <= 3
-    town_near = one_edit(l_("town"), o_("town"))
-    unplaced = (l_("town") == "") & (l_("postcode") == "")
-    near = ((l_("town") != "") & (o_("town") != "") & town_near) | ((l_("postcode") != "") & (
-        (l_("postcode") == o_("postcode")) | ((l_("town") == "") & (o_("postcode") != "") & one_edit(l_("postcode"), o_("postcode")))))
-    unsaid = unplaced | ((o_("town") == "") & (o_("postcode") == ""))
-    state_ok = (l_("state") == "") | (o_("state") == "") | (l_("state") == o_("state"))
-    code_fits = (l_("town") == "") | (o_("town") == "") | town_near
-    yes = F.lit(True)
+
+def _passes() -> list[tuple[str, list[str], str, list[tuple[str, Column]]]]:
+    """Passes from the strongest to the weakest: attributes joined on (``~`` marks those joined on an affix), columns that
+    must not be blank, and the rules a joined pair may meet, the first that holds counting."""
+    l_, o_ = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"o_{c}"))
+    same, near = l_("stem") == o_("stem"), one_edit(l_("stem"), o_("stem"))
+    town_fits = (l_("town") == "") | (o_("town") == "") | one_edit(l_("town"), o_("town"))
     return [
-        ("name_trade_town", ["stem", "trade", "town"], ["stem", "trade", "town"], l_("town") != ""),
-        ("name_trade_postcode", ["stem", "trade", "postcode"], ["stem", "trade", "postcode"], (l_("postcode") != "") & code_fits),
-        ("near_name_trade_town", ["stem_drop", "trade", "town"], ["stem_drop", "trade", "town"], (l_("town") != "") & stem),
-        ("near_name_trade_postcode", ["stem_drop", "trade", "postcode"], ["stem_drop", "trade", "postcode"],
-         (l_("postcode") != "") & stem & code_fits),
-        ("near_name_trade_near_town", ["stem_drop", "trade", "town_drop"], ["stem_drop", "trade", "town_drop"],
-         (l_("town") != "") & stem & town_near),
-        ("twice_misspelt_name_trade_town", ["stem_drop", "trade", "town"], ["stem_drop", "trade", "town"], l_("town") != ""),
-        ("near_name_trade_phone", ["stem_drop", "trade", "phone"], ["stem_drop", "trade", "phone"], near | (unsaid & state_ok)),
-        ("trade_phone", ["trade", "phone"], ["trade", "phone"], far_stem & (near | (unsaid & state_ok))),
-        ("near_name_trade_hint", ["stem_drop", "trade", "hint"], ["stem_drop", "trade", "hint"], stem & (near | (unsaid & state_ok)) & yes),
+        ("town", ["stem", "trade", "town"], "town", [("name_trade_town", same)]),
+        ("postcode", ["stem", "trade", "postcode"], "postcode", [("name_trade_postcode", town_fits)]),
+        ("near name, town", ["~stem", "trade", "town"], "town", [("near_name_trade_town", near)]),
+        ("near name, postcode", ["~stem", "trade", "postcode"], "postcode", [("near_name_trade_postcode", near & town_fits)]),
+        ("near name, near town", ["~stem", "trade", "~town"], "town", [("near_name_trade_near_town", near & one_edit(l_("town"), o_("town")))]),
     ]
 
 
@@ -98,45 +86,68 @@ def match(listings: DataFrame, organisations: DataFrame, identifiers: DataFrame,
 
     Nulls in any attribute only keep a row out of the rules that join on it; names without distinctive word or trade
     match nothing. Repeated rows count once, ties do not arise as every pair that meets a rule is kept, empty tables give
-    an empty result, and other columns of the tables are ignored. No candidate or partner is capped.
+    an empty result, and other columns of the tables are ignored. No candidate or partner is capped. Places are part of
+    every key but those of listings or organisations without any, so namesakes elsewhere are never compared.
     """
     stash = Stash(listings.sparkSession)
     places = stash.put(organisation_places(locations, observations))
     side_l = stash.put(complete_places(listing_keys(listings), places, stash))
-    names = stash.put(organisation_names(organisations))
     places = complete_places(places, places, stash).distinct()
+    side_o = stash.put(organisation_names(organisations).join(places, "org_id", "left").fillna("", ["town", "state", "postcode"]))
     phones = observations.where("predicate = 'phone'").select("org_id", phone_key(F.col("object_value")).alias("phone")).where("phone is not null").distinct()
     value = F.regexp_replace(F.upper(F.coalesce("value_normalised", "value")), "[^A-Z0-9]", "")
     numbers = stash.put(identifiers.where("org_id is not null").select("org_id", value.alias("value")).where("length(value) >= 6").distinct())
-    side_o = stash.put(names.join(places, "org_id", "left").fillna("", ["town", "state", "postcode"]))
-
-    def keyed(df: DataFrame, keys: list[str], who: str) -> DataFrame:
-        for k in keys:
-            if k == "stem_drop":
-                df = df.withColumn(k, F.explode(shortened(F.col("stem"))))
-            elif k == "town_drop":
-                df = df.withColumn(k, F.explode(shortened(F.col("town"))))
-            elif k == "phone" and who == "o":
-                df = df.join(phones, "org_id")
-            elif k == "hint":
-                if who == "o":
-                    kinds = F.array(*[F.concat(F.lit("e"), F.right("value", F.lit(n))) for n in (4, 5, 6)], F.concat(F.lit("s"), F.substring("value", 1, 6)))
-                    df = df.join(numbers, "org_id").withColumn(k, F.explode(kinds)).drop("value")
-                else:
-                    digits = F.regexp_replace("registration_hint", r"\D", "")
-                    df = df.withColumn(k, F.concat(F.when(F.col("registration_hint").endswith("***"), "s").otherwise("e"), digits)).where(F.length(digits).between(4, 6))
-        return df
+
+    def keyed(df: DataFrame, attributes: list[str], filled: str, keep: list[str], prefix: str) -> DataFrame:
+        df = df.where(F.col(filled) != "")
+        parts = []
+        for a in attributes:
+            if a[0] == "~":
+                df = df.withColumn(f"__{a[1:]}", F.explode(affixes(F.col(a[1:]))))
+                parts.append(F.col(f"__{a[1:]}"))
+            else:
+                parts.append(F.col(a))
+        return df.select(_key(*parts).alias("key"), *[F.col(c).alias(prefix + c) for c in keep]).distinct()
+
+    def first_rule(joined: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
+        rule = reduce(lambda w, r: w.when(r[1], r[0]), rules[1:], F.when(rules[0][1], rules[0][0]))
+        named = joined.select(F.col("o_org_id").alias("org_id"), F.col("l_listing_id").alias("listing_id"), rule.alias("rule")).where("rule is not null")
+        return named.groupBy("org_id", "listing_id").agg(F.min("rule").alias("rule"))
 
     found: list[DataFrame] = []
-    for rank, (name, lk, ok, also) in enumerate(_rules()):
-        a, b = keyed(side_l, lk, "l").alias("l"), keyed(side_o, ok, "o").alias("o")
-        on = reduce(lambda x, y: x & y, [F.col(f"l.{x}") == F.col(f"o.{y}") for x, y in zip(lk, ok)])
-        pairs = a.join(b, on & also).select(F.col("o.org_id").alias("org_id"), F.col("l.listing_id").alias("listing_id")).distinct()
+
+    def settle(pairs: DataFrame) -> None:
+        """Keep the pairs no earlier pass has found."""
         for earlier in found:
             pairs = pairs.join(earlier.select("org_id", "listing_id"), ["org_id", "listing_id"], "left_anti")
-        found.append(stash.put(pairs.withColumn("rule", F.lit(name))))
-    all_pairs = reduce(DataFrame.unionByName, found)
-    return with_confidence(all_pairs, side_l, numbers)
+        found.append(stash.put(pairs))
+
+    keep = ["stem", "town", "postcode"]
+    for _, attributes, filled, rules in _passes():
+        a = keyed(side_l, attributes, filled, ["listing_id", *keep], "l_")
+        b = keyed(side_o, attributes, filled, ["org_id", *keep], "o_")
+        settle(first_rule(a.join(b, "key"), rules))
+
+    far = F.levenshtein("l_stem", "o_stem") <= 3
+    states = (F.col("l_state") == "") | (F.col("o_state") == "") | (F.col("l_state") == F.col("o_state"))
+    nowhere = ((F.col("l_town") == "") & (F.col("l_postcode") == "")) | ((F.col("o_town") == "") & (F.col("o_postcode") == ""))
+    near_town = ((F.col("l_town") != "") & (F.col("l_town") == F.col("o_town"))) | ((F.col("l_postcode") != "") & (F.col("l_postcode") == F.col("o_postcode")))
+    keep = ["stem", "town", "postcode", "state"]
+    a = keyed(side_l.where("phone is not null"), ["trade", "phone"], "trade", ["listing_id", *keep], "l_")
+    b = keyed(side_o.join(phones, "org_id"), ["trade", "phone"], "trade", ["org_id", *keep], "o_")
+    settle(first_rule(a.join(b, "key").where(near_town | (nowhere & states)), [("trade_phone", far)]))
+
+    # without any place on one side, a registration hint must bear out the name
+    hinted = side_l.where("registration_hint is not null")
+    blank = "town = '' and postcode = ''"
+    for left, right in ((hinted.where(blank), side_o), (hinted.where(f"not ({blank})"), side_o.where(blank))):
+        a = keyed(left, ["~stem", "trade"], "trade", ["listing_id", "registration_hint", *keep], "l_")
+        b = keyed(right, ["~stem", "trade"], "trade", ["org_id", *keep], "o_")
+        near = a.join(b, "key").where(states & one_edit(F.col("l_stem"), F.col("o_stem"))).withColumnRenamed("o_org_id", "org_id")
+        fits = near.join(numbers, "org_id").where(hint_fits(F.col("l_registration_hint"), F.col("value"))).withColumnRenamed("org_id", "o_org_id")
+        settle(first_rule(fits, [("near_name_trade_hint", F.lit(True))]))
+
+    return with_confidence(reduce(DataFrame.unionByName, found), side_l, numbers)
 
 
 def with_confidence(pairs: DataFrame, listings: DataFrame, numbers: DataFrame) -> DataFrame:

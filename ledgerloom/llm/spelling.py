@@ -238,6 +238,14 @@ def shortened(text: Column) -> Column:
     return F.array_distinct(F.when(F.length(text) > 0, F.concat(F.array(text), drops)).otherwise(F.array(text)))
 
 
+def affixes(text: Column) -> Column:
+    """First and last letters: two texts of four or more letters one edit or swap apart share one of these."""
+    ends = lambda n: [F.concat(F.lit(f"<{n}"), F.substring(text, 1, n)), F.concat(F.lit(f">{n}"), F.right(text, F.lit(n)))]
+    few = F.array(F.concat(F.lit("="), text), *ends(1))
+    return F.array_distinct(F.when(F.length(text) > 7, F.array(*ends(3))).when(F.length(text) > 5, F.array(*ends(3), *ends(2))).when(
+        F.length(text) > 3, F.array(*ends(2), *ends(1))).otherwise(few))
+
+
 def swapped(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) == 2) & (F.length(a) == F.length(b)) & (
         F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))

@@ -8,6 +8,7 @@ from ledgerloom.llm.addresses import same_places
 from ledgerloom.llm.entity_match import match
 from ledgerloom.llm.groups import PLACEHOLDERS, golden_records, groups, merge_sets, surviving_facts
 from ledgerloom.llm.leakage import leaked_items
+from ledgerloom.llm.mixing import mix_report, mixed_documents
 from ledgerloom.llm.mojibake import repaired
 from ledgerloom.session import table
 
@@ -48,6 +49,15 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The mix: every document used and how often."""
+    return mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix_report(p9_documents(spark, d), table(spark, d, "mix_target"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return repaired(table(spark, d, "documents")).where("garbled").select("doc_id").distinct()
 
@@ -57,7 +67,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return repaired(table(spark, d, "documents")).where("garbled").selectExpr("doc_id", "text", "size(spans) as n_spans")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p3_found, p3_records, p4_found, p8_found, p8_passages, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p3_found, p3_records, p4_found, p8_found, p8_passages, p9_documents, p9_shares, p10_found, p10_restored)}
 
 _PLACEHOLDERS = ", ".join(f"'{x}'" for x in PLACEHOLDERS)
 

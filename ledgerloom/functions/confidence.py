@@ -67,7 +67,8 @@ def wording(score: Column, conflicted: Column, stale: Column, verified: Column)
 
 def retry_after_seconds(value: Column) -> Column:
     """Seconds asked for, at least 30; 900 if none can be read."""
-    return F.coalesce(F.greatest(value.try_cast("double"), F.lit(30.0)), F.lit(900.0))
+    seconds = value.try_cast("double")
+    return F.when(seconds.isNull(), 900.0).otherwise(F.greatest(seconds, F.lit(30.0)))  # greatest() passes nulls over
 
 
 def backoff_seconds(attempts: Column) -> Column:

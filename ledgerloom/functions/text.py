@@ -65,7 +65,7 @@ def is_role_email(email: Column) -> Column:
 
 def address_key(parts: Column) -> Column:
     """Name key of the joined parts of an array; null with fewer than two filled ones."""
-    filled = F.filter(F.transform(parts, F.trim), lambda p: F.length(p) > 0)
+    filled = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: F.length(p) > 0)
     key = name_key(F.array_join(filled, " "))
     return F.when((F.size(filled) >= 2) & (key != ""), key)
 
@@ -91,7 +91,7 @@ def slug(value: Column, most: int = 80) -> Column:
 
 def split_claims(value: Column) -> Column:
     """Distinct trimmed parts between pipes, semicolons and commas, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(value, r"[|;,]"), F.trim), lambda p: p != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(value, r"[|;,]"), lambda p: F.trim(p)), lambda p: p != "")))
 
 
 def clean_text(value: Column, most: int) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 CLEAN = "clean"
 LOST = "lost"
-ENTER, LEAVE = -8.5, -2.0
+ENTER, LEAVE = -5.0, -2.0
 TURNS = 3
 REPLACEMENT = "�"
 #: Single-byte encodings that UTF-8 text was read as.

@@ -27,12 +27,15 @@ def town_of_postcode(places: DataFrame) -> DataFrame:
 def complete_places(rows: DataFrame, known: DataFrame, stash: Stash) -> DataFrame:
     """``rows`` with misspelt towns mended and missing ones filled from the postcode, as ``known`` has them.
 
-    A town is first mended to that of its postcode if one edit away, else to a much more frequent spelling.
+    A town is first mended to that of its postcode if one edit away (two for long names that begin alike), else to a much
+    more frequent spelling.
     """
     spelt = stash.put(town_spellings(known))
     mended = salted_join(known.select("town", "postcode"), spelt, "town").select(F.coalesce("mended", "town").alias("town"), "postcode")
     codes = stash.put(town_of_postcode(mended))
     both = salted_join(salted_join(rows, codes, "postcode"), spelt, "town")
+    close = one_edit(F.col("town"), F.col("code_town")) | ((F.levenshtein("town", "code_town") <= 2) & (F.length("town") >= 7) & (
+        F.left("town", F.lit(1)) == F.left("code_town", F.lit(1))))
     town = F.when(F.col("town") == "", F.coalesce("code_town", F.lit(""))).when(
-        one_edit(F.col("town"), F.col("code_town")), F.col("code_town")).otherwise(F.coalesce("mended", "town"))
+        close, F.col("code_town")).otherwise(F.coalesce("mended", "town"))
     return both.withColumn("town", town).drop("code_town", "mended")

@@ -203,8 +203,8 @@ def whole_uses(rated: DataFrame) -> DataFrame:
 def mix_report(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source of the target table: its target share, cap, and what the mix reached."""
     used = mix.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens_used"), F.max("repeats").alias("most_repeats"))
-    total = used.agg(F.sum("tokens_used").alias("total"))
+    total = used.agg(F.sum("tokens_used")).first()[0] or 1
     goal = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats")
-    return goal.join(used, "source", "left").crossJoin(F.broadcast(total)).select(  # the total is one row
+    return goal.join(used, "source", "left").select(
         "source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"),
-        F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.round(F.coalesce(F.col("tokens_used") / F.col("total"), F.lit(0.0)), 6).alias("actual_share"))
+        F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.round(F.coalesce(F.col("tokens_used") / F.lit(float(total)), F.lit(0.0)), 6).alias("actual_share"))

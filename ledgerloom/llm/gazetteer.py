@@ -34,7 +34,8 @@ def complete_places(rows: DataFrame, known: DataFrame, stash: Stash) -> DataFram
     mended = salted_join(known.select("town", "postcode"), spelt, "town").select(F.coalesce("mended", "town").alias("town"), "postcode")
     codes = stash.put(town_of_postcode(mended))
     both = salted_join(salted_join(rows, codes, "postcode"), spelt, "town")
-    close = one_edit(F.col("town"), F.col("code_town")) | ((F.levenshtein("town", "code_town") <= 2) & (F.length("town") >= 7) & (
+    turned = F.regexp_replace("town", r"^(.*) (\S+)$", "$2 $1")  # a misspelt direction left at the end
+    close = one_edit(F.col("town"), F.col("code_town")) | one_edit(turned, F.col("code_town")) | ((F.levenshtein("town", "code_town") <= 2) & (F.length("town") >= 7) & (
         F.left("town", F.lit(1)) == F.left("code_town", F.lit(1))))
     town = F.when(F.col("town") == "", F.coalesce("code_town", F.lit(""))).when(
         close, F.col("code_town")).otherwise(F.coalesce("mended", "town"))

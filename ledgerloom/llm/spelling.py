@@ -247,8 +247,11 @@ def affixes(text: Column) -> Column:
 
 
 def swapped(a: Column, b: Column) -> Column:
-    return (F.levenshtein(a, b) == 2) & (F.length(a) == F.length(b)) & (
-        F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
+    """Two neighbouring letters changed places. Letters further apart do not count: those are other names."""
+    part = lambda i, n: F.substring(a, i, n)
+    turned = F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: F.concat(
+        F.substring(a, F.lit(1), i - 1), part(i + 1, F.lit(1)), part(i, F.lit(1)), part(i + 2, F.length(a))) == b)
+    return (F.length(a) == F.length(b)) & (F.levenshtein(a, b) == 2) & turned
 
 
 def one_edit(a: Column, b: Column) -> Column:

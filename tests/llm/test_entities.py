@@ -51,6 +51,11 @@ def test_one_edit_keys(spark):
     assert df.where(~F.arrays_overlap(spelling.shortened(a), spelling.shortened(b))).count() == 0
 
 
+def test_swaps_of_distant_letters_are_other_names(spark):
+    df = spark.createDataFrame([("zifidrus", "fizidrus", False), ("gisewim", "sigewim", False), ("abcd", "abdc", True), ("abcd", "bacd", True), ("ab", "ba", True), ("", "", True), ("a", "b", True), ("abc", "xyz", False)], "a string, b string, w boolean")
+    assert df.where(spelling.one_edit(F.col("a"), F.col("b")) != F.col("w")).count() == 0
+
+
 def matched(spark, lst, org, idn=(), loc=(), obs=()):
     make = spark.createDataFrame
     rows = entity_match.match(make(list(lst), LST), make(list(org), ORG), make(list(idn), IDN), make(list(loc), LOC), make(list(obs), OBS)).collect()

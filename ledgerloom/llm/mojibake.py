@@ -2,15 +2,17 @@
 
 The model has one clean state and one state per pair (encoding the text was in, encoding it was read as). Only
 characters outside ASCII are labelled, as ASCII reads alike in every pair. A state emits what its inverse transform turns
-into a likely clean character, likely as measured over all documents and fitting its neighbours; a character the pair
-cannot have produced is impossible in that state. The best path labels the characters, and each labelled span gets its
-state's inverse transform. Text garbled twice is restored in two turns.
+into a likely clean character: likely after the clean character before it, as counted over all documents, and fitting its
+neighbours; a character the pair cannot have produced is impossible in that state. The best path labels the characters,
+and each labelled span gets its state's inverse transform. Text garbled twice the usual way is a state of its own; what
+else was garbled twice is restored in two turns.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,14 +23,21 @@ from pyspark.sql import functions as F
 
 CLEAN = "clean"
 LOST = "lost"
-ENTER, LEAVE = -5.0, -2.0
-TURNS = 3
+ENTER, LEAVE = -6.0, -2.0
+#: Added where a span would begin or end within a run of characters outside ASCII, as in the middle of a word.
+INSIDE = -3.0
+TURNS = 2
+TWICE = "utf8>cp1252>cp1252"
+LONGEST = 13
+#: Weight of the character before against the character alone, and buckets in which pairs of characters are counted.
+BEFORE_WEIGHT = 0.85
+PAIR_BUCKETS = 1 << 18
 REPLACEMENT = "�"
 #: Single-byte encodings that UTF-8 text was read as.
-UTF8_READ_AS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "cp1250")
+UTF8_READ_AS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "koi8_r")
 #: (true, read as) single-byte encodings.
 BYTE_PAIRS = (("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "mac_roman"), ("cp1252", "cp1251"), ("cp1252", "cp1250"),
-              ("cp1250", "cp1252"), ("cp1251", "cp1252"))
+              ("cp1250", "cp1252"), ("cp1251", "cp1252"), ("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("koi8_r", "cp1252"), ("cp1250", "cp1251"))
 SCHEMA = "doc_id bigint, garbled boolean, text string, spans array<struct<start:int,end:int,pair:string>>"
 
 
@@ -50,7 +59,7 @@ def _bytes_of(codec: str) -> dict[str, int]:
 BYTES = {c: _bytes_of(c) for c in {*UTF8_READ_AS, *(r for _, r in BYTE_PAIRS)}}
 CHARS = {c: {b: ch for ch, b in reversed(_bytes_of(c).items())} for c in {t for t, _ in BYTE_PAIRS}}  # the first of two wins
 INVERSE = {f"{t}>{r}": {ch: CHARS[t][b] for ch, b in BYTES[r].items() if b in CHARS[t]} for t, r in BYTE_PAIRS}
-STATES = (CLEAN, *(f"utf8>{c}" for c in UTF8_READ_AS), *INVERSE)
+STATES = (CLEAN, *(f"utf8>{c}" for c in UTF8_READ_AS), TWICE, *INVERSE)
 
 
 @lru_cache(1 << 16)
@@ -72,6 +81,21 @@ def decoded(chars: str, codec: str) -> tuple[str, int] | None:
         return None
 
 
+@lru_cache(1 << 16)
+def decoded_twice(chars: str) -> tuple[str, int] | None:
+    """As ``decoded`` for UTF-8 read as Windows-1252, written as UTF-8 and read as Windows-1252 again."""
+    inner, i = "", 0
+    while i < len(chars) and len(inner) < 4:
+        hit = decoded(chars[i:i + 4], "cp1252")
+        if hit is None:
+            return None
+        inner, i = inner + hit[0], i + hit[1]
+        whole = decoded(inner, "cp1252")
+        if whole and whole[1] == len(inner):
+            return whole[0], i
+    return None
+
+
 def decodable(run: str) -> bool:
     return any(decoded(run[i:i + 4], c) for i in range(len(run)) for c in UTF8_READ_AS)
 
@@ -120,37 +144,62 @@ def misfit(c: str, before: str, after: str) -> float:
     return 0.0
 
 
+def pair_bucket(before: str, c: str) -> int:
+    return zlib.crc32((before + c).encode("utf-8", "surrogatepass")) & (PAIR_BUCKETS - 1)
+
+
+def contexts(text: str, i: int, j: int) -> Iterator[tuple[str, str]]:
+    """(what stands before, character) for the characters of a run; before the first stands the kind of its neighbour."""
+    before = "\x01" + _kind(text[i - 1:i] if i else "")
+    for c in text[i:j]:
+        yield before, c
+        before = c
+
+
 class Model:
-    """counts: how often each character outside ASCII stands in clean places, over all documents."""
+    """counts: how often each character outside ASCII stands in clean places, over all documents; befores: how often
+    something stands before such a character; pairs: how often the two stand together, by bucket."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], befores: dict[str, int], pairs: dict[int, int]):
         total = sum(counts.values()) + 1000.0
-        self.rare = math.log(0.5 / total)
-        self.log = {c: math.log((n + 0.5) / total) for c, n in counts.items()}
+        self.rare = 0.5 / total
+        self.alone = {c: (n + 0.5) / total for c, n in counts.items()}
+        self.befores, self.pairs = befores, pairs
         self.memo: dict[tuple, list] = {}
+        self.likely: dict[tuple[str, str], float] = {}
+
+    def log_likely(self, before: str, c: str) -> float:
+        got = self.likely.get((before, c))
+        if got is None:
+            p, n = self.alone.get(c, self.rare), self.befores.get(before, 0)
+            if n:
+                p = BEFORE_WEIGHT * min(1.0, self.pairs.get(pair_bucket(before, c), 0) / n) * n / (n + 5) + (1 - BEFORE_WEIGHT * n / (n + 5)) * p
+            got = self.likely[before, c] = math.log(max(p, 1e-9))
+        return got
 
     def _emissions(self, chars: str, before: str, after: str) -> list[tuple[int, float, str] | None]:
-        """For each state (characters used, log probability, clean text) or None; ``chars``: up to five of the run."""
+        """For each state (characters used, log fit to the neighbours, clean text) or None; ``chars``: the next of the run."""
         key = (chars, before, after)
         got = self.memo.get(key)
         if got is not None:
             return got
         c = chars[0]
-        second = _kind(chars[1]) if len(chars) > 1 else after
-        score = lambda o, x, y: self.log.get(o, self.rare) + misfit(o, x, y)
-        out: list[tuple[int, float, str] | None] = [(1, score(c, before, second), c)]
+        kind_at = lambda n: _kind(chars[n]) if len(chars) > n else after
+        out: list[tuple[int, float, str] | None] = [(1, misfit(c, before, kind_at(1)), c)]
         for codec in UTF8_READ_AS:
-            hit = decoded(chars, codec)
+            hit = decoded(chars[:4], codec)
             if hit:
                 o, n = hit
-                out.append((n, score(o, before, _kind(chars[n]) if len(chars) > n else after) if o > "\x7f" else -20.0, o))
+                out.append((n, misfit(o, before, kind_at(n)) if o > "\x7f" else -20.0, o))
             elif 0xC2 <= BYTES[codec].get(c, 0) <= 0xDF:  # a lead whose continuation was lost
                 out.append((1, -14.0, REPLACEMENT))
             else:
                 out.append(None)
+        hit = decoded_twice(chars)
+        out.append((hit[1], misfit(hit[0], before, kind_at(hit[1])), hit[0]) if hit else None)
         for table in INVERSE.values():
             o = table.get(c)
-            out.append(None if o is None else (1, score(o, before, second), o))
+            out.append(None if o is None or o == c else (1, misfit(o, before, kind_at(1)), o))
         if len(self.memo) > 1 << 18:
             self.memo.clear()
         self.memo[key] = out
@@ -158,17 +207,11 @@ class Model:
 
     def label(self, text: str) -> list[tuple[int, int, int, str]]:
         """(start, end, state, clean text) of the emissions of the best path."""
-        spans = list(runs_of(text))
-        if not spans:
-            return []
         n = len(STATES)
-        now: list[float] = [0.0, *[ENTER] * (n - 1)]
-        trail: list[list] = [[None] * n]  # backpointers per cut
-        path: list[tuple] = []
-        score = now
+        score: list[float] = [0.0, *[ENTER] * (n - 1)]
         back: list = [None] * n
-        for i, j in spans:
-            before, after = _kind(text[i - 1:i]), _kind(text[j:j + 1])
+        for i, j in runs_of(text):
+            before, after = _kind(text[i - 1:i] if i else ""), _kind(text[j:j + 1])
             size = j - i
             at: list[list[float]] = [[-1e18] * n for _ in range(size + 1)]
             frm: list[list] = [[None] * n for _ in range(size + 1)]
@@ -176,26 +219,31 @@ class Model:
             for k in range(size):
                 here, came = at[k], frm[k]
                 top = max(range(n), key=here.__getitem__)
-                # switching: leave for clean, or from the best state by way of clean into another
-                leave = here[top] + (0.0 if top == 0 else LEAVE)
+                # switching: to clean, and from clean into any other
+                inside = INSIDE if k else 0.0
+                leave = here[top] + (0.0 if top == 0 else LEAVE + inside)
+                start = here[0] + ENTER + inside
                 if leave > here[0]:
+                    start = max(start, leave + ENTER)
                     here[0], came[0] = leave, came[top]
-                start = here[0] + ENTER
                 for s in range(1, n):
                     if start > here[s]:
                         here[s], came[s] = start, came[0]
-                got = self._emissions(text[i + k:min(i + k + 5, j)], before if k == 0 else _kind(text[i + k - 1]), after)
+                got = self._emissions(text[i + k:min(i + k + LONGEST, j)], before if k == 0 else _kind(text[i + k - 1]), after)
+                first = "\x01" + before
                 for s in range(n):
                     e = got[s]
                     if e is None:
                         continue
-                    used, p, o = e
-                    if k + used <= size and here[s] + p > at[k + used][s]:
-                        at[k + used][s] = here[s] + p
+                    used, fit, o = e
+                    last = first if k == 0 else came[s][4]
+                    p = here[s] + fit + (self.log_likely(last, o) if o != REPLACEMENT else 0.0)
+                    if p > at[k + used][s]:
+                        at[k + used][s] = p
                         frm[k + used][s] = (came[s], i + k, i + k + used, s, o)
             score, back = at[size], frm[size]
         best = max(range(n), key=lambda s: score[s] + (0.0 if s == 0 else LEAVE))
-        node = back[best]
+        node, path = back[best], []
         while node is not None:
             path.append(node[1:])
             node = node[0]
@@ -222,23 +270,34 @@ class Model:
         return text, sorted(spans)
 
 
-def character_counts(documents: DataFrame) -> dict[str, int]:
-    """Counts of the characters outside ASCII over all documents, but for runs that read as garbled UTF-8.
+def tally(texts, counts: Counter) -> None:
+    """Adds to ``counts`` the characters outside ASCII, what stands before them, and both together, but for runs that read
+    as garbled UTF-8."""
+    for text in texts:
+        if text and not text.isascii():
+            for i, j in runs_of(text):
+                if not decodable(text[i:j]) and REPLACEMENT not in text[i:j]:
+                    for before, c in contexts(text, i, j):
+                        counts["c" + c] += 1
+                        counts["b" + before] += 1
+                        counts[f"p{pair_bucket(before, c)}"] += 1
 
-    One row per character, so at most the size of Unicode, comes to the driver.
-    """
+
+def model_of(counts: dict[str, int]) -> Model:
+    part = lambda k: {x[1:]: n for x, n in counts.items() if x[0] == k}
+    return Model(part("c"), part("b"), {int(x): n for x, n in part("p").items()})
+
+
+def character_counts(documents: DataFrame) -> dict[str, int]:
+    """The tally over all documents. At most two rows per character of Unicode and one per bucket come to the driver."""
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         for df in frames:
-            for text in df["text"]:
-                if text and not text.isascii():
-                    for i, j in runs_of(text):
-                        if not decodable(text[i:j]):
-                            counts.update(text[i:j])
+            tally(df["text"], counts)
         yield pd.DataFrame(list(counts.items()), columns=["c", "n"])
 
     rows = documents.where("text is not null").select("text").mapInPandas(count, "c string, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
-    return {r["c"]: r["n"] for r in rows.collect() if r["c"] != REPLACEMENT}
+    return {r["c"]: r["n"] for r in rows.collect()}
 
 
 def repaired(documents: DataFrame) -> DataFrame:
@@ -251,7 +310,7 @@ def repaired(documents: DataFrame) -> DataFrame:
     counts = character_counts(documents)
 
     def mend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(counts)
+        model = model_of(counts)
         for df in frames:
             rows = []
             for doc_id, text in zip(df["doc_id"], df["text"]):

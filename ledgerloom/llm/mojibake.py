@@ -165,6 +165,9 @@ class Model:
         self.rare = 0.5 / total
         self.alone = {c: (n + 0.5) / total for c, n in counts.items()}
         self.befores, self.pairs = befores, pairs
+        #: Log probability that a character outside ASCII is followed by another one at once.
+        self.followed = {c: math.log((befores.get(c, 0) + 0.5) / (n + 1.0)) for c, n in counts.items()}
+        self.unseen_followed = math.log(0.25)
         self.memo: dict[tuple, list] = {}
         self.likely: dict[tuple[str, str], float] = {}
 
@@ -199,7 +202,7 @@ class Model:
         out.append((hit[1], misfit(hit[0], before, kind_at(hit[1])), hit[0]) if hit else None)
         for table in INVERSE.values():
             o = table.get(c)
-            out.append(None if o is None or o == c else (1, misfit(o, before, kind_at(1)), o))
+            out.append(None if o is None else (1, misfit(o, before, kind_at(1)), o))
         if len(self.memo) > 1 << 18:
             self.memo.clear()
         self.memo[key] = out
@@ -237,7 +240,11 @@ class Model:
                         continue
                     used, fit, o = e
                     last = first if k == 0 else came[s][4]
-                    p = here[s] + fit + (self.log_likely(last, o) if o != REPLACEMENT else 0.0)
+                    p = here[s] + fit
+                    if o != REPLACEMENT:
+                        p += self.log_likely(last, o)
+                    if k:
+                        p += self.followed.get(last, self.unseen_followed)
                     if p > at[k + used][s]:
                         at[k + used][s] = p
                         frm[k + used][s] = (came[s], i + k, i + k + used, s, o)
@@ -254,7 +261,7 @@ class Model:
         spans = [(i, i + 1, LOST) for i, c in enumerate(text) if c == REPLACEMENT]
         for turn in range(TURNS):
             path = self.label(text)
-            bad = [x for x in path if x[2]]
+            bad = [x for x in path if x[2] and x[3] != text[x[0]:x[1]]]
             if not bad:
                 break
             out, end = [], 0

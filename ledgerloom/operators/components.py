@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerloom.session import Stash
@@ -26,28 +26,30 @@ def connected_components(edges: DataFrame, src: str, dst: str, stash: Stash | No
     a, b = F.col(src), F.col(dst)
     clean = edges.select(a.alias("u"), b.alias("v")).where(a.isNotNull() & b.isNotNull())
     loops = clean.where("u = v").select("u")
-    work = own.put(clean.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+
+    def put(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """Writes the edges; their number and a hash of them are observed on the way, without a pass of their own."""
+        seen = Observation()
+        out = own.put(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        return out, (seen.get["n"], seen.get["h"])
+
+    work, before = put(clean.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     ends = work.select(F.explode(F.array("u", "v")).alias("id"))
     vertices = own.put(ends.unionByName(loops.select(F.col("u").alias("id"))).distinct())
 
-    def state(df: DataFrame):
-        """Of the edges: number and a hash, whether any v is itself some u (so not yet a star)."""
-        return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-
-    before = state(work)
-    while before["n"]:
+    while before[0]:
         both = work.unionByName(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         mid = own.put(large)
         down = mid.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small = _with_least(down)
-        after = own.put(
+        after, now = put(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct())
         own.drop(work)
         own.drop(mid)
-        work, now = after, state(after)
+        work = after
         if now == before:
             break
         before = now

@@ -21,10 +21,13 @@ def _linked(spark: SparkSession, d: str, kind: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [_linked(spark, d, kind).where("parent is not null").select(
-        F.lit(kind).alias("hierarchy"), F.col("id").alias("org_id"), F.col("root").alias("root_org_id"), "depth")
-        for kind in LINKS]
-    return parts[0].unionByName(parts[1])
+    """Both hierarchies in one run: ids are marked with the kind of link, so the two stay apart."""
+    org = table(spark, d, "organisation").where("org_id is not null")
+    marked = lambda kind, c: F.when(F.length(F.trim(c)) > 0, F.concat(F.lit(kind + ":"), c))
+    nodes = [org.select(F.concat(F.lit(kind + ":"), "org_id").alias("id"), marked(kind, c).alias("up")) for kind, c in LINKS.items()]
+    found = hierarchy(nodes[0].unionByName(nodes[1]), "id", "up").where("parent is not null")
+    bare = lambda c: F.regexp_replace(c, "^[a-z]+:", "")
+    return found.select(F.substring_index("id", ":", 1).alias("hierarchy"), bare("id").alias("org_id"), bare("root").alias("root_org_id"), "depth")
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:

@@ -315,6 +315,21 @@ SELECT entity_id, predicate, value, CASE WHEN conflicted THEN 'conflicted' WHEN
   strftime(newest AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS last_observed_at FROM full_""",
     "canonical_map": f"WITH RECURSIVE {_CANON} SELECT org_id, root_id, looped FROM canon",
     "merge_groups": f"WITH RECURSIVE {_CANON} SELECT root_id, count(*) AS members, min(org_id) AS least_id FROM canon WHERE NOT looped GROUP BY root_id HAVING count(*) > 1",
+    "blocking_keys": rf"""WITH live AS (SELECT org_id, any_value(canonical_name) AS c, any_value(legal_name) AS l, any_value(trading_names) AS t FROM organisation WHERE {_LIVE} GROUP BY org_id),
+raw AS (SELECT org_id, unnest(list_concat([c, l], coalesce(t, []))) AS n FROM live),
+names AS (SELECT DISTINCT org_id, {_name('n')} AS k FROM raw WHERE n IS NOT NULL),
+loc AS (SELECT org_id, arg_min(struct_pack(a := address_lines, p := postal_code, l := locality, r := region, c := country), location_id) AS x FROM org_location GROUP BY org_id),
+addr AS (SELECT org_id, list_filter(list_transform(list_filter(list_concat(x.a, [x.p, x.l, x.r, x.c]), lambda v: v IS NOT NULL), lambda v: trim(v)), lambda v: v <> '') AS parts FROM loc WHERE len(x.a) > 0),
+said AS (SELECT * FROM observation WHERE normalisation_status <> 'rejected'),
+keys AS (SELECT org_id, 'name:' || k AS key, false AS weak FROM names WHERE k <> ''
+  UNION ALL SELECT org_id, 'token:' || t, true FROM (SELECT org_id, unnest(string_split(k, ' ')) AS t FROM names) WHERE length(t) >= 2 AND t NOT IN {text.STOP_WORDS}
+  UNION ALL SELECT org_id, 'id:' || scheme || ':' || upper(regexp_replace(coalesce(value_normalised, value), '[\s\-./]', '', 'g')), false FROM organisation_identifier WHERE is_current
+  UNION ALL SELECT org_id, 'dom:' || {_HOST.format(c='object_value')}, false FROM said WHERE predicate = 'website_domain'
+  UNION ALL SELECT org_id, 'phone:' || {_PHONE.format(c='object_value')}, false FROM said WHERE predicate = 'phone'
+  UNION ALL SELECT org_id, 'email:' || h, false FROM (SELECT org_id, CASE WHEN contains(object_value, '@') THEN nullif({_HOST.format(c="regexp_extract(object_value, '[^@]*$')")}, '') END AS h
+    FROM said WHERE predicate = 'email') WHERE h NOT IN ({_PUBLIC})
+  UNION ALL SELECT org_id, 'address:' || k, false FROM (SELECT org_id, {_name("array_to_string(parts, ' ')")} AS k FROM addr WHERE len(parts) >= 2) WHERE k <> '')
+SELECT key, weak, count(DISTINCT org_id) AS members FROM keys WHERE key IS NOT NULL AND org_id IN (SELECT org_id FROM live) GROUP BY key, weak HAVING count(DISTINCT org_id) > 1""",
     "review_queue": r"""SELECT candidate_id, score, conflict_count FROM (SELECT DISTINCT * FROM entity_match_candidate
 WHERE regexp_replace(lower(trim(match_state)), '[\s\-]+', '_', 'g') IN ('possible_review', 'unresolved'))
 ORDER BY score DESC NULLS LAST, conflict_count DESC, created_at, candidate_id LIMIT 200""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.components import connected_components
@@ -54,17 +54,17 @@ def group_ids(links: DataFrame, rounds: int = BFS_ROUNDS) -> DataFrame:
         k += 1
         ahead = rest.join(frontier.select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id")).unionByName(
             rest.join(frontier.select(F.col("id").alias("v")), "v", "left_semi").select(F.col("u").alias("id")))
-        fresh = stash.put(ahead.distinct().join(reached, "id", "left_anti"))
-        if not fresh.limit(1).count():
+        seen = Observation()
+        fresh = stash.put(ahead.distinct().join(reached, "id", "left_anti").observe(seen, F.count(F.lit(1)).alias("n")))
+        if not seen.get["n"]:
             frontier = None
             break
-        # edges with both ends reached are done with
-        inside = reached.unionByName(fresh)
+        # edges with an end in the old frontier are done with
         left = stash.put(rest.join(frontier.select(F.col("id").alias("u")), "u", "left_anti").join(
             frontier.select(F.col("id").alias("v")), "v", "left_anti"))
         if rest is not both:
             stash.drop(rest)
-        reached, frontier, rest = stash.put(inside), fresh, left
+        reached, frontier, rest = reached.unionByName(fresh), fresh, left
     least = reached.agg(F.min("id")).first()[0]
     if frontier is None:
         others = both.join(reached.select(F.col("id").alias("u")), "u", "left_anti")

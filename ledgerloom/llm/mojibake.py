@@ -216,11 +216,13 @@ class Model:
         for i, j in runs_of(text):
             before, after = _kind(text[i - 1:i] if i else ""), _kind(text[j:j + 1])
             size = j - i
-            at: list[list[float]] = [[-1e18] * n for _ in range(size + 1)]
-            frm: list[list] = [[None] * n for _ in range(size + 1)]
+            # only as many cuts are kept as the longest emission reaches: a run may be as long as a text
+            ring = min(size, LONGEST) + 1
+            at: list[list[float]] = [[-1e18] * n for _ in range(ring)]
+            frm: list[list] = [[None] * n for _ in range(ring)]
             at[0], frm[0] = score, back
             for k in range(size):
-                here, came = at[k], frm[k]
+                here, came = at[k % ring], frm[k % ring]
                 top = max(range(n), key=here.__getitem__)
                 # switching: to clean, and from clean into any other
                 inside = INSIDE if k else 0.0
@@ -232,7 +234,10 @@ class Model:
                 for s in range(1, n):
                     if start > here[s]:
                         here[s], came[s] = start, came[0]
-                got = self._emissions(text[i + k:min(i + k + LONGEST, j)], before if k == 0 else _kind(text[i + k - 1]), after)
+                near = text[i + k:min(i + k + 5, j)]
+                if decoded(near[:4], "cp1252"):  # only what may be garbled twice is looked at further on
+                    near = text[i + k:min(i + k + LONGEST, j)]
+                got = self._emissions(near, before if k == 0 else _kind(text[i + k - 1]), after)
                 first = "\x01" + before
                 for s in range(n):
                     e = got[s]
@@ -245,10 +250,13 @@ class Model:
                         p += self.log_likely(last, o)
                     if k:
                         p += self.followed.get(last, self.unseen_followed)
-                    if p > at[k + used][s]:
-                        at[k + used][s] = p
-                        frm[k + used][s] = (came[s], i + k, i + k + used, s, o)
-            score, back = at[size], frm[size]
+                    to = (k + used) % ring
+                    if p > at[to][s]:
+                        at[to][s] = p
+                        frm[to][s] = (came[s], i + k, i + k + used, s, o)
+                if k + 1 < size or ring <= size:
+                    at[k % ring], frm[k % ring] = [-1e18] * n, [None] * n
+            score, back = at[size % ring], frm[size % ring]
         best = max(range(n), key=lambda s: score[s] + (0.0 if s == 0 else LEAVE))
         node, path = back[best], []
         while node is not None:

@@ -32,6 +32,13 @@ def test_leaks_of_equal_items_and_empty_tables(spark):
     assert leaked(spark, []) == {} and leaked(spark, [(1, ITEM)], []) == {} and set(leaked(spark, [(1, "so be it")], [(1, "So be", 0)])) == {(1, 1)}
 
 
+def test_items_in_several_passes(spark, monkeypatch):
+    items = [(i, f"{ITEM} variant {i} of many", 0) for i in range(7)]
+    whole = set(leaked(spark, [(1, items[3][1]), (2, ITEM)], items))
+    monkeypatch.setattr(leakage, "MAX_CHARS", 300)
+    assert set(leaked(spark, [(1, items[3][1]), (2, ITEM)], items)) == whole and len(whole) == 14
+
+
 def test_passage_shares_against_alignment():
     r = random.Random(4)
     vocab = [f"w{i}" for i in range(400)]
@@ -90,6 +97,13 @@ def test_clean_twice_partly_and_lost():
     assert m.repair("r�sum�s")[1] == [(1, 2, "lost"), (5, 6, "lost")]
 
 
+def test_one_run_as_long_as_a_text():
+    m = model()
+    text = CLEAN[5].replace(" ", "\xa0").replace(".", "·") * 2000
+    assert m.repair(text)[0] == text
+    assert m.repair(("é" * 3000).encode().decode("cp1252"))[0] == "é" * 3000
+
+
 def test_repaired_table(spark):
     rows = [(1, CLEAN[0].encode().decode("cp1252"), "x"), (2, CLEAN[1], "x"), (3, None, "x"), (4, "", "x"), (5, "ascii " * 100_000, "x"), (None, "cafÃ©", "x"), (1, CLEAN[0].encode().decode("cp1252"), "x")]
     rows += [(10 + i, t, "x") for i, t in enumerate(CLEAN)]

@@ -17,7 +17,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pcsv
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ledgerloom.session import salted_join
 

@@ -25,6 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Tables estimated larger than this are not broadcast. Estimates of written tables are of compressed files, which unfold to
+#: about ten times as much in memory.
+MAX_BROADCAST_BYTES = 4 << 20
+
+
 class Stash:
     """Tables written to the shared folder to cut lineage; ``drop`` removes those no longer read.
 
@@ -55,22 +60,17 @@ class Stash:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimiser's size estimate: an upper bound for scans, filters and projections of written tables."""
+    """The optimiser's size estimate: an upper bound of the stored size for scans, filters and projections of written tables."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def small_side(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
-    """``df`` with a broadcast hint if its estimated size is within the bound, else as it is (shuffle join, AQE)."""
-    return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df
-
-
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "left") -> DataFrame:
     """Join a large left side whose keys may be hot with a right side of one row per key.
 
     The right side is repeated once per salt, so a key with a third of the left rows is spread over ``salts`` tasks.
     A right side within the size bound is broadcast instead.
     """
-    if estimated_bytes(right) <= 32 << 20:
+    if estimated_bytes(right) <= MAX_BROADCAST_BYTES:
         return left.join(F.broadcast(right), key, how)
     salt = "__salt"
     others = [F.col(f"`{c}`") for c in left.columns if c != key]

@@ -205,3 +205,15 @@ def test_salted_join(spark):
     left = spark.createDataFrame([("k", i) for i in range(50)] + [("z", 1)], "k string, v int")
     right = spark.createDataFrame([("k", "x")], "k string, w string")
     assert sorted(map(tuple, salted_join(left, right, "k").collect()), key=str) == sorted(map(tuple, left.join(right, "k", "left").collect()), key=str)
+
+
+def test_salted_join_beyond_the_broadcast_bound(spark, monkeypatch):
+    from ledgerloom import session
+
+    monkeypatch.setattr(session, "MAX_BROADCAST_BYTES", -1)
+    left = spark.createDataFrame([("k", i, "x") for i in range(60)] + [(None, 1, "y"), ("z", 2, None)], "k string, v int, w string")
+    right = spark.createDataFrame([("k", 1), ("q", 2)], "k string, r int")
+    for how in ("left", "inner"):
+        got = session.salted_join(left, right, "k", how=how)
+        assert "Broadcast" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).select(*got.columns).collect()))

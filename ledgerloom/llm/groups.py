@@ -77,7 +77,8 @@ def group_ids(links: DataFrame, rounds: int = BFS_ROUNDS) -> DataFrame:
         F.when(F.col("iu"), F.lit(least)).otherwise(F.col("u")).alias("u"), F.when(F.col("iv"), F.lit(least)).otherwise(F.col("v")).alias("v"))
     parts = stash.put(connected_components(short, "u", "v", stash))
     core = parts.where(F.col("id") == F.lit(least)).select("component").first()
-    inner = reached.where(F.col("id") != F.lit(least)).select("id", F.lit(core[0] if core else least).alias("group_id"))
+    inner = reached.where(F.col("id") != F.lit(least)) if core else reached  # without edges left the vertex is in no part
+    inner = inner.select("id", F.lit(core[0] if core else least).alias("group_id"))
     return parts.select("id", F.col("component").alias("group_id")).unionByName(inner)
 
 

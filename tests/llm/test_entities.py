@@ -125,6 +125,12 @@ def test_group_ids_against_brute_force(spark, rounds):
     assert {x["id"]: x["group_id"] for x in got.collect()} == want
 
 
+def test_group_ids_where_the_last_round_ends_the_component(spark):
+    links = spark.createDataFrame([("h", "a"), ("h", "b"), ("h", "c"), ("c", "d"), ("x", "y")], "a string, b string")
+    for rounds in (1, 2, 3):
+        assert {tuple(r) for r in groups.group_ids(links, rounds).collect()} == {*((v, "a") for v in "abcdh"), ("x", "x"), ("y", "x")}
+
+
 def test_mark_dominated_against_brute_force(spark):
     r = random.Random(9)
     rows = [(f"g{r.randrange(3)}", i, r.choice([None, 0.1, 0.5, 0.9]), r.choice([None, 1.0, 2.0, 3.0]), r.choice([None, 0, 1, 2])) for i in range(150)]

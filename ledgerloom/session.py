@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,21 @@ def shared_folder(spark: SparkSession) -> str:
 MAX_BROADCAST_BYTES = 4 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they need no path to it of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerloom_shipped", False):
+        return
+    package = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="ledgerloom-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/{package.name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    sc.addPyFile(f"{folder}/{package.name}.zip")
+    sc._ledgerloom_shipped = True
+
+
 class Stash:
     """Tables written to the shared folder to cut lineage; ``drop`` removes those no longer read.
 

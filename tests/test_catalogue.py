@@ -41,3 +41,14 @@ def test_query(spark, db, name):
 
 def test_sql_has_queries():
     assert set(catalogue.SQL) <= set(catalogue.QUERIES)
+
+
+def test_entry_and_shipping(spark):
+    import __spark_entry__ as entry
+    from ledgerloom.session import ship
+
+    ship(spark)
+    includes = list(spark.sparkContext._python_includes)
+    ship(spark)
+    assert includes == spark.sparkContext._python_includes and "ledgerloom.zip" in includes
+    assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())

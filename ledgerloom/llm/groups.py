@@ -126,7 +126,7 @@ def mark_dominated(rows: DataFrame, group: list[str], first: str, second: str, l
 
 def merge_sets(organisations: DataFrame) -> DataFrame:
     """``(org_id, root_org_id)`` of sets of two or more whose merged_into_id chains end at one organisation."""
-    walked = hierarchy(organisations.select("org_id", "merged_into_id"), "org_id", "merged_into_id")
+    walked = hierarchy(organisations.select("org_id", "merged_into_id"), "org_id", "merged_into_id", paths=False)
     members = Stash(organisations.sparkSession).put(
         walked.where("depth >= 0").select(F.col("id").alias("org_id"), F.col("root").alias("root_org_id")))
     several = members.groupBy("root_org_id").count().where("count > 1").select("root_org_id")

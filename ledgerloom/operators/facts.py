@@ -18,7 +18,7 @@ CONFLICT_SHARE = 1 / 3
 
 def canonical_map(organisations: DataFrame) -> DataFrame:
     """``(org_id, root_id, looped)``: the organisation at the end of each merge chain. On a loop the least id stands."""
-    walked = hierarchy(organisations.select("org_id", "merged_into_id"), "org_id", "merged_into_id")
+    walked = hierarchy(organisations.select("org_id", "merged_into_id"), "org_id", "merged_into_id", paths=False)
     return walked.select(F.col("id").alias("org_id"), F.col("root").alias("root_id"), (F.col("depth") < 0).alias("looped"))
 
 

@@ -92,12 +92,13 @@ def _walk_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out(rest)
 
 
-def by_doubling(links: DataFrame, stash: Stash) -> DataFrame:
-    """Root, depth and loops of every node by pointer doubling: each round doubles the distance looked up.
+def by_doubling(links: DataFrame, stash: Stash, paths: bool = True) -> DataFrame:
+    """The rows of ``walk`` by pointer doubling: each round doubles the distance looked up.
 
     For every node the state is the ancestor ``2^k`` links up (or the top, if nearer), the links to it, and the least
     id passed. After more rounds than the logarithm of the node count, nodes whose pointer still moves are on or below
-    a loop. Paths and descendants are not listed here (null), as they may be unbounded in one row.
+    a loop. Paths and descendants are then built over the links of the nodes off the loops. Without ``paths`` both are left
+    out, for callers that do not read them: in a long chain all paths together grow with the square of its length.
     """
     known = links.select(F.col("id").alias("p_id"))
     base = links.join(known, links.parent == known.p_id, "left").select(
@@ -119,22 +120,43 @@ def by_doubling(links: DataFrame, stash: Stash) -> DataFrame:
         now, reach = after, reach * 2
     # What still moves has gone at least n links, so its pointer is on the loop, and from there a whole turn was made:
     # the least id passed by the node pointed at is the least on the loop.
-    on = now.where("not done").select(F.col("jump").alias("on_id")).distinct()
+    on = stash.put(now.where("not done").select(F.col("jump").alias("on_id")).distinct())
     turn = now.join(on, now.id == on.on_id).select(F.col("id").alias("on_id"), F.col("least").alias("loop_least"))
-    whole = now.join(turn, now.jump == turn.on_id, "left")
-    ring_of = whole.select(
+    ring = on.select(F.col("on_id").alias("ring_id"))
+    whole = now.join(turn, now.jump == turn.on_id, "left").join(ring, now.id == ring.ring_id, "left").select(
         "id", "parent", F.when(F.col("done"), F.col("jump")).otherwise(F.col("loop_least")).alias("root"),
-        F.when(F.col("done"), F.col("hops")).otherwise(F.lit(-1)).cast("int").alias("depth"))
-    return ring_of.select("id", "parent", "root", "depth", F.lit(None).cast("array<string>").alias("path"),
-                          F.lit(None).cast("boolean").alias("on_loop"), F.lit(None).cast("bigint").alias("descendants"))
+        F.when(F.col("done"), F.col("hops")).otherwise(F.lit(-1)).cast("int").alias("depth"), F.col("ring_id").isNotNull().alias("on_loop"))
+    if not paths:
+        return whole
+    tree = base.join(ring, base.id == ring.ring_id, "left").select("id", F.when(F.col("ring_id").isNull(), F.col("up")).alias("up"))
+    return whole.join(_paths_by_doubling(tree, stash), "id")
+
+
+def _paths_by_doubling(tree: DataFrame, stash: Stash) -> DataFrame:
+    """``(id, path, descendants)`` of a forest ``(id, up)``. After round k a node has the last ``2^k`` nodes of its path and
+    the number of nodes fewer than ``2^k`` links below it, itself included; rounds grow with the logarithm of the depth."""
+    now = stash.put(tree.select("id", F.col("up").alias("jump"), F.array("id").alias("path"), F.lit(1).cast("bigint").alias("held")))
+    while now.where("jump is not null").limit(1).count():
+        far = now.select(F.col("id").alias("j"), F.col("jump").alias("j2"), F.col("path").alias("p2"))
+        under = now.where("jump is not null").groupBy(F.col("jump").alias("u")).agg(F.sum("held").alias("more"))
+        moves = F.col("jump").isNotNull()
+        step = now.join(far, F.coalesce(now.jump, now.id) == far.j).join(under, now.id == under.u, "left").select(
+            "id", F.when(moves, F.col("j2")).alias("jump"),
+            F.when(moves, F.concat("p2", "path")).otherwise(F.col("path")).alias("path"),
+            (F.col("held") + F.coalesce("more", F.lit(0))).alias("held"))
+        after = stash.put(step)
+        stash.drop(now)
+        now = after
+    return now.select("id", "path", (F.col("held") - 1).alias("descendants"))
 
 
-def hierarchy(nodes: DataFrame, id_col: str, parent_col: str, max_component: int = 20_000) -> DataFrame:
+def hierarchy(nodes: DataFrame, id_col: str, parent_col: str, max_component: int = 20_000, paths: bool = True) -> DataFrame:
     """Root, depth, path from the root, loop membership and number of descendants of every node.
 
     ``depth`` is -1 and ``root`` the least id of the loop for nodes on or below a loop. A parent that is not a node
     counts as absent: the node is a root itself, at depth 0. Empty input gives an empty result; extra columns are
     ignored. ``max_component`` bounds what one task holds; larger components are resolved by ``by_doubling``.
+    Without ``paths`` the result has no columns ``path`` and ``descendants``.
     """
     stash = Stash(nodes.sparkSession)
     links = stash.put(clean_links(nodes, id_col, parent_col))
@@ -144,11 +166,12 @@ def hierarchy(nodes: DataFrame, id_col: str, parent_col: str, max_component: int
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
     large = sizes.where(F.col("size") > max_component).select("component")
     placed = links.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    shown = lambda df: df if paths else df.drop("path", "descendants")
     if not large.limit(1).count():
-        return _walked(placed)
+        return shown(_walked(placed))
     big = placed.join(large, "component", "left_semi")
     rest = placed.join(large, "component", "left_anti")
-    return _walked(rest).unionByName(by_doubling(big.select("id", "parent"), stash))
+    return shown(_walked(rest)).unionByName(by_doubling(big.select("id", "parent"), stash, paths))
 
 
 def _walked(placed: DataFrame) -> DataFrame:

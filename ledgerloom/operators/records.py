@@ -86,7 +86,7 @@ def merges_in_force(events: DataFrame) -> DataFrame:
 
 def refused_merges(organisations: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (survivor_id, absorbed_id) with the first reason against the merge, null if it can be done."""
-    state = hierarchy(organisations.select("org_id", "merged_into_id"), "org_id", "merged_into_id").select("id", "root", F.col("parent").alias("into"))
+    state = hierarchy(organisations.select("org_id", "merged_into_id"), "org_id", "merged_into_id", paths=False).select("id", "root", F.col("parent").alias("into"))
     a = state.select(F.col("id").alias("survivor_id"), F.col("root").alias("root_a"), F.col("into").alias("into_a"))
     b = state.select(F.col("id").alias("absorbed_id"), F.col("root").alias("root_b"), F.col("into").alias("into_b"))
     reason = (F.when(F.col("survivor_id").eqNullSafe(F.col("absorbed_id")), "same").when(F.col("root_a").isNull() | F.col("root_b").isNull(), "unknown")

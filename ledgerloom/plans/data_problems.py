@@ -25,7 +25,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     org = table(spark, d, "organisation").where("org_id is not null")
     marked = lambda kind, c: F.when(F.length(F.trim(c)) > 0, F.concat(F.lit(kind + ":"), c))
     nodes = [org.select(F.concat(F.lit(kind + ":"), "org_id").alias("id"), marked(kind, c).alias("up")) for kind, c in LINKS.items()]
-    found = hierarchy(nodes[0].unionByName(nodes[1]), "id", "up").where("parent is not null")
+    found = hierarchy(nodes[0].unionByName(nodes[1]), "id", "up", paths=False).where("parent is not null")
     bare = lambda c: F.regexp_replace(c, "^[a-z]+:", "")
     return found.select(F.substring_index("id", ":", 1).alias("hierarchy"), bare("id").alias("org_id"), bare("root").alias("root_org_id"), "depth")
 

@@ -78,3 +78,15 @@ def test_components_against_brute_force(spark):
         want[v] = min(seen)
     got = connected_components(spark.createDataFrame(edges, "a string, b string"), "a", "b")
     assert {x["id"]: x["component"] for x in got.collect()} == want
+
+
+def test_large_components_give_all_rows_of_the_walk(spark):
+    parent = as_rows(forest(11)) | {f"w{i:02d}": "n000" for i in range(40)} | {f"c{i:03d}": f"c{i - 1:03d}" if i else None for i in range(70)}
+    df = spark.createDataFrame(list(parent.items()), "id string, p string")
+    whole, cut = hierarchy(df, "id", "p"), hierarchy(df, "id", "p", max_component=3)
+    rows = lambda found: {r["id"]: r.asDict() for r in found.collect()}
+    want = rows(whole)
+    assert rows(cut) == want and any(x["on_loop"] for x in want.values()) and any(x["depth"] < 0 and not x["on_loop"] for x in want.values())
+    pairs = lambda found: sorted(map(tuple, descendant_pairs(found).collect()))
+    assert pairs(cut) == pairs(whole)
+    assert rows(hierarchy(df, "id", "p", max_component=3, paths=False)) == {k: {c: v for c, v in x.items() if c not in ("path", "descendants")} for k, x in want.items()}

@@ -76,18 +76,35 @@ class Automaton:
         for end, (length, items, at) in self.machine.iter(text):
             for n, k in at:
                 found[n].append((end + 1 - length, end + 1, k, items))
-        out = []
+        out, stretches = [], None
         for n, hits in found.items():
-            if len(hits) + WORDS - 1 > SHARE * self.size[n]:
-                share, start, end = self._passage(hits, self.size[n])
+            width, least = min(WORDS, self.size[n]), SHARE * self.size[n]
+            # No passage holds more than the words that any hit covers.
+            if width * len(hits) > least and len({i for _, _, k, _ in hits for i in range(k, k + width)}) > least:
+                blocks = self._blocks(hits, width)
+                share, start, end = self._passage(blocks, self.size[n])
+                if share > SHARE and len(hits) + WORDS - 1 <= least:  # in several pieces
+                    if stretches is None:
+                        stretches = [(m, b) for m, h in found.items() for b in self._blocks(h, min(WORDS, self.size[m])) if b[3] - b[2] > LONG_BLOCK]
+                    share, start, end = self._passage(self._own(n, blocks, stretches), self.size[n])
                 if share > SHARE:
                     out.append((n, share, start, end))
         return out
 
     @staticmethod
-    def _passage(hits: list[tuple[int, int, int, int]], size: int) -> tuple[float, int, int]:
+    def _own(n: int, blocks: list[list[int]], stretches: list[tuple[int, list[int]]]) -> list[list[int]]:
+        """Blocks without the short ones that are a phrase of another item's wording: a stretch at least ``LONG_BLOCK`` words
+        longer that holds no other block of item n. They belong to what interrupts the passage, not to it."""
+        others = [f for m, f in stretches if m != n]
+        inside = lambda b, f: f[0] <= b[0] and b[1] <= f[1]
+        words_of = lambda b: b[3] - b[2]
+        return [b for b in blocks if words_of(b) >= LONG_BLOCK or not any(
+            inside(b, f) and words_of(f) >= words_of(b) + LONG_BLOCK and not any(a is not b and a[0] < f[1] and a[1] > f[0] for a in blocks)
+            for f in others)]
+
+    @staticmethod
+    def _blocks(hits: list[tuple[int, int, int, int]], width: int) -> list[list[int]]:
         hits.sort()
-        width = min(WORDS, size)
         blocks: list[list[int]] = []  # start, end, first word, word after the last, rarest run's items
         growing: dict[int, list[int]] = {}
         for start, end, k, items in hits:
@@ -98,6 +115,10 @@ class Automaton:
                 block = [start, end, k, k + width, items]
                 blocks.append(block)
             growing[k] = block
+        return blocks
+
+    @staticmethod
+    def _passage(blocks: list[list[int]], size: int) -> tuple[float, int, int]:
         blocks = sorted(b for b in blocks if b[3] - b[2] >= LONG_BLOCK or b[4] <= DISTINCT_ITEMS)
         best: list[tuple[int, int]] = []  # words held, start
         top, low = (0, 0, 0), 0

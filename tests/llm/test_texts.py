@@ -53,6 +53,18 @@ def test_passage_shares_against_alignment():
             assert (i in found) == (part > 0.5)
 
 
+def test_leaks_in_several_pieces():
+    w = [f"w{i}" for i in range(40)]
+    automaton = leakage.Automaton([(1, " ".join(w))])
+    share = lambda words: [round(x[1], 3) for x in automaton.leaks(leakage.flat(" ".join(words)))]
+    assert share([f"x{i}" if i % 5 == 4 else x for i, x in enumerate(w)]) == [0.8]
+    assert share([y for i in (0, 10, 20, 30) for y in [*w[i:i + 6], f"x{i}", "aside"]]) == [0.6]
+    assert share([y for i in (0, 10, 20, 30) for y in [*w[i:i + 5], f"x{i}", "aside"]]) == []
+    near = [f"y{i}" if i % 5 == 4 else x for i, x in enumerate(w)]
+    both = leakage.Automaton([(1, " ".join(w)), (2, " ".join(near))])
+    assert sorted((both.ids[n][0], x) for n, x, *_ in both.leaks(leakage.flat(" ".join(near)))) == [(1, 0.8), (2, 1.0)]
+
+
 CLEAN = ["La façade a reçu un bâchage complet l’été dernier; coûte 20 €.", "Für die Brücke wurden Stützen geliefert, größer als früher.", "El andamio se inspeccionó; ¿cuándo empezará la demolición?",
          "A manutenção começou, não acabou. ATENÇÃO: ÂNCORAS E PÁRA-QUEDAS.", "Wysokość wieży przekracza żądaną; łączy się źle.", "Высота башни превышает предел. Подрядчик подал заявку.",
          "A 12 mm ± 2 tolerance; 54 °C; m²; ½″ board – “quoted” • tag… ‘blue’ book’s."] * 30

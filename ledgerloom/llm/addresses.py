@@ -1,8 +1,8 @@
 """Same postal address written differently: a set-containment join on address components.
 
 Addresses are parsed into components and written in one spelling; towns are mended and filled by the table's own
-gazetteer. Each distinct form is a set of tokens, composite so that each is rare. A form is indexed under its rarest
-tokens, and fuller forms (equal ones too) probe with all of theirs. A candidate is kept if the weight of the lesser form
+gazetteer. Each distinct form is a set of tokens, composite so that each is rare. A form is indexed under all
+tokens that another form shares, and fuller forms (equal ones too) probe with all of theirs. A candidate is kept if the weight of the lesser form
 is contained in the fuller one and no component contradicts. Forms without any town are placed last, where exactly one
 place fits.
 """
@@ -86,14 +86,13 @@ def place_groups(locations: DataFrame, stash: Stash) -> DataFrame:
 
     parts = sum(F.when(F.col(c) != "", 1).otherwise(0) for c in FORM)
     tokens = closed.select(F.explode(_tokens()).alias("token"), F.struct("form", parts.alias("parts"), *FORM).alias("f"))
-    # A misspelt token is the rarest of all, held by one form only: the index takes the rarest that others hold too.
+    # A misspelt token is often held by one form only: the index takes those that others hold too. It takes all of them, as
+    # which of its tokens a form shares with its misspelling cannot be told from how rare they are.
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    live = stash.put(tokens.join(shared, "token").withColumn("kind", F.substring_index("token", "|", 1)))
-    rank = F.struct("df", "token")
-    index = live.groupBy("f", "kind").agg(F.min(rank).alias("r1"), F.max(rank).alias("r2")).select("f", F.explode(F.array_distinct(F.array("r1.token", "r2.token"))).alias("token"))
+    live = stash.put(tokens.join(shared, "token").select("f", "token"))
     side = lambda df, p: df.select("token", *[F.col(f"f.{c}").alias(f"{p}_{c}") for c in ("form", "parts", *FORM)])
     fuller = (F.col("y_parts") > F.col("x_parts")) | ((F.col("y_parts") == F.col("x_parts")) & (F.col("y_form") != F.col("x_form")))
-    links = side(index, "x").join(side(live, "y"), "token").where(fuller & _contained("x", "y")).select("x_form", "y_form").distinct()
+    links = side(live, "x").join(side(live, "y"), "token").where(fuller & _contained("x", "y")).select("x_form", "y_form").distinct()
     found = connected_components(stash.put(links), "x_form", "y_form", stash)
     groups = stash.put(closed.select("form").join(found.withColumnRenamed("id", "form"), "form", "left").select("form", F.coalesce("component", "form").alias("place")))
     every = stash.put(groups.unionByName(_placed_open(open_forms, closed, groups, stash)))

@@ -93,6 +93,11 @@ def test_same_places(spark):
     assert addresses.same_places(spark.createDataFrame([], LOC)).count() == 0
 
 
+def test_short_streets_with_like_beginnings(spark):
+    rows = [(x, "o", [f"7 {x} Street"], "Hugramere", None, "8227", 1) for x in ("Mary", "Mall", "Mons", "Bary", "Bank", "Bess")]
+    assert [tuple(r) for r in addresses.same_places(spark.createDataFrame(rows, LOC)).collect()] == [("Bary", "Mary")]
+
+
 CND = "candidate_id string, organisation_a_id string, organisation_b_id string, match_state string, updated_at timestamp, u string"
 T = lambda d: datetime(2024, 1, d)
 

@@ -189,29 +189,54 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     return graph.edges(rows.select(F.col("org_id").alias("subject"), "e.object", "e.relation", "confidence").where("trim(object) <> ''"))
 
 
+def _near(links: DataFrame, least_links: int) -> DataFrame:
+    starts = links.groupBy("src").agg(F.countDistinct("dst").alias("n")).where(F.col("n") >= least_links).select(F.col("src").alias("id"))
+    return graph.neighbourhood(starts, links, depth=2, least=0.05)
+
+
+def _paths(links: DataFrame, near: DataFrame) -> DataFrame:
+    pairs = near.where("hops = 2").select(F.col("start").alias("source"), F.col("id").alias("target"))
+    return graph.shortest_paths(pairs, links, depth=2).select("source", "target", F.array_join("path", ">").alias("path"), "confidence")
+
+
 def graph_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     """Within two hops over parent and merge links, from every organisation with three or more links."""
-    links = _links(spark, d)
-    starts = links.groupBy("src").agg(F.countDistinct("dst").alias("n")).where("n >= 3").select(F.col("src").alias("id"))
-    return graph.neighbourhood(starts, links, depth=2, least=0.05)
+    return _near(_links(spark, d), 3)
+
+
+def graph_neighbourhood_all(spark: SparkSession, d: str) -> DataFrame:
+    """Within two hops over parent and merge links, from every linked organisation."""
+    return _near(_links(spark, d), 1)
 
 
 def graph_paths(spark: SparkSession, d: str) -> DataFrame:
     """Shortest paths from the organisations with three or more links to what is two hops away."""
-    links = _links(spark, d)
-    near = graph_neighbourhood(spark, d).where("hops = 2").select(F.col("start").alias("source"), F.col("id").alias("target"))
-    return graph.shortest_paths(near, links, depth=2).select("source", "target", F.array_join("path", ">").alias("path"), "confidence")
+    return _paths(_links(spark, d), graph_neighbourhood(spark, d))
 
 
-def shared_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Organisations met through a common document by those with an observation of predicate location and confidence 0.98 or more."""
+def graph_paths_all(spark: SparkSession, d: str) -> DataFrame:
+    """Shortest paths from every linked organisation to what is two hops away."""
+    return _paths(_links(spark, d), graph_neighbourhood_all(spark, d))
+
+
+def _met(spark: SparkSession, d: str, which: str) -> DataFrame:
     obs = table(spark, d, "observation").where("document_id is not null")
     meetings = obs.groupBy(F.col("org_id").alias("member"), F.col("document_id").cast("string").alias("event")).agg(F.max("extraction_confidence").alias("confidence"))
-    starts = obs.where("predicate = 'location' and extraction_confidence >= 0.98").select(F.col("org_id").alias("id")).distinct()
+    starts = obs.where(which).select(F.col("org_id").alias("id")).distinct()
     none = spark.createDataFrame([], "src string, dst string, relation string, confidence double")
     return graph.neighbourhood(starts, none, depth=1, meetings=meetings)
 
 
+def shared_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Organisations met through a common document by those with an observation of predicate location and confidence 0.98 or more."""
+    return _met(spark, d, "predicate = 'location' and extraction_confidence >= 0.98")
+
+
+def shared_documents_all(spark: SparkSession, d: str) -> DataFrame:
+    """Organisations met through a common document by every organisation with an observation from a document."""
+    return _met(spark, d, "org_id is not null")
+
+
 def location_scope(spark: SparkSession, d: str) -> DataFrame:
     """Place code of each location and how it stands to Australia's east and to ANZ."""
     pairs = [x for k, v in STATE_CODES.items() for x in (F.lit(k), F.lit(v))]
@@ -238,7 +263,7 @@ QUERIES = {f.__name__: f for f in (
     org_name_keys, contact_keys, identifier_keys, candidate_hosts, observation_scores, reconcile_facts, canonical_map, merge_groups,
     blocking_keys, duplicate_candidates, review_queue, organisation_counts, source_document_counts, coverage_matrix, source_targeting,
     evidence_rollup, profile_completeness, latest_observations, contact_points, dangling_evidence, stale_entities, entity_search,
-    research_gaps, graph_neighbourhood, graph_paths, shared_documents, location_scope, import_matches)}
+    research_gaps, graph_neighbourhood, graph_neighbourhood_all, graph_paths, graph_paths_all, shared_documents, shared_documents_all, location_scope, import_matches)}
 
 _SUFFIX = "|".join(text.LEGAL_SUFFIXES)
 
@@ -371,6 +396,9 @@ SELECT * FROM walks QUALIFY row_number() OVER (PARTITION BY source, target ORDER
 s AS (SELECT DISTINCT org_id AS id FROM observation WHERE document_id IS NOT NULL AND predicate = 'location' AND extraction_confidence >= 0.98)
 SELECT s.id AS start, b.member AS id, CAST(1 AS INTEGER) AS hops, max(round(least(a.confidence, b.confidence), 3)) AS confidence
 FROM s JOIN m a ON a.member = s.id JOIN m b ON a.event = b.event AND b.member <> s.id GROUP BY 1, 2""",
+    "shared_documents_all": """WITH m AS (SELECT org_id AS member, document_id AS event, max(extraction_confidence) AS confidence FROM observation WHERE document_id IS NOT NULL GROUP BY 1, 2)
+SELECT a.member AS start, b.member AS id, CAST(1 AS INTEGER) AS hops, max(round(least(a.confidence, b.confidence), 3)) AS confidence
+FROM m a JOIN m b ON a.event = b.event AND b.member <> a.member GROUP BY 1, 2""",
     "location_scope": "WITH c AS (SELECT DISTINCT location_id, CASE WHEN country IN ('AU', 'Australia') THEN 'AU' WHEN country IN ('NZ', 'New Zealand') THEN 'NZ' END AS land, CASE region "
                       + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATE_CODES.items()) + """ ELSE region END AS state FROM org_location),
 k AS (SELECT DISTINCT location_id, CASE WHEN land IS NOT NULL THEN land || coalesce('-' || state, '') END AS code FROM c)
@@ -385,3 +413,4 @@ places AS (SELECT {_name('canonical_name')} AS name_key, lower(trim(locality)) A
 SELECT run_id, line_no, coalesce(i.org_id, p.org_id) AS org_id, CASE WHEN i.org_id IS NOT NULL THEN 'identifier' WHEN p.org_id IS NOT NULL THEN 'name_place' ELSE 'new' END AS matched_by
 FROM rows r LEFT JOIN ids i ON r.ident = i.ident LEFT JOIN places p ON r.name_key = p.name_key AND r.town = p.town""",
 }
+SQL |= {f"{k}_all": SQL[k].replace(" HAVING count(DISTINCT dst) >= 3", "") for k in ("graph_neighbourhood", "graph_paths")}

@@ -4,33 +4,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Legal forms, words that follow a trade, and the written forms of trades.
-LEGAL = {"pty", "ltd", "limited", "inc", "incorporated", "p/l", "pl", "co", "company", "corp", "corporation", "llc", "plc"}
-SUFFIXES = {
-    "group", "grp", "systems", "system", "sys", "services", "service", "serv", "svcs", "svc", "solutions", "solution",
-    "soln", "solns", "projects", "project", "proj", "contractors", "contractor", "contracting", "contrs", "maintenance",
-    "maint", "and", "sons"}
-TRADE_WORDS = {
-    "scaffolding": "scaffolding", "scaffold": "scaffolding", "scaff": "scaffolding", "scaffg": "scaffolding",
-    "formwork": "formwork", "f/work": "formwork", "propping": "propping", "props": "propping", "prop": "propping",
-    "shoring": "shoring", "shoreg": "shoring", "rigging": "rigging", "rigg": "rigging", "riggers": "rigging",
-    "roofing": "roofing", "roofs": "roofing", "roofg": "roofing", "demolition": "demolition", "demolitions": "demolition",
-    "demo": "demolition", "cladding": "cladding", "claddings": "cladding", "insulation": "insulation", "insul": "insulation",
-    "fabrication": "fabrication", "fabrications": "fabrication", "fab": "fabrication", "steelfixing": "steelfixing",
-    "steelfix": "steelfixing", "waterproofing": "waterproofing", "earthworks": "earthworks", "engineering": "engineering",
-    "engineers": "engineering", "eng": "engineering", "engr": "engineering", "hoarding": "hoarding", "hoardings": "hoarding",
-    "plant": "plant", "crane": "crane", "cranes": "crane", "access": "access", "acc": "access", "industrial": "industrial",
-    "ind": "industrial", "edge": "edge", "temporary": "temporary", "temp": "temporary", "concrete": "concrete",
-    "conc": "concrete"}
-TRADE_PAIRS = {("form", "work"): "formwork", ("steel", "fixing"): "steelfixing", ("water", "proofing"): "waterproofing",
-               ("earth", "works"): "earthworks", ("earth", "wks"): "earthworks"}
-TRADE_FILLERS = {"hire", "hre", "works", "wks", "protection", "prot", "pumping", "pumps", "fixing", "work", "proofing"}
+# Legal forms and joining words of company names.
+LEGAL = {"pty", "ltd", "limited", "inc", "incorporated", "pl", "co", "company", "corp", "corporation", "llc", "plc"}
+JOINERS = {"and", "the"}
+#: Letters from which on a common beginning makes two words of one family, and letters a name's first word must have to stand alone.
+FAMILY, ALONE = 4, 3
 
 STATES = {
     "nsw": "nsw", "new south wales": "nsw", "vic": "vic", "victoria": "vic", "qld": "qld", "queensland": "qld", "sa": "sa",
@@ -60,39 +45,58 @@ def plain(text: str | None) -> str:
 
 
 def parse_name(name: str | None) -> tuple[str, str]:
-    """(stem, trade) of a company name: the distinctive words, and the trade in one spelling; '' where absent."""
-    text = re.sub(r"[^a-z0-9&+/ ]+", " ", plain(name).replace("'", "").replace("p. l", "p/l"))
-    text = re.sub(r"\bp\s*/\s*l\b", " ", text)
-    if " t/a " in text:
-        text = text.split(" t/a ", 1)[1]
-    words = [w for w in text.split() if w not in LEGAL and w not in ("&", "+", "/", "p", "l")]
-    if words[:1] == ["the"]:
-        words = words[1:]
-    if "by" in words[1:]:
+    """(stem, trade) of a company name by the order of its words; '' where absent.
+
+    The stem is the first word (run together with the next while it is shorter than ``ALONE`` letters), the trade the words
+    that follow. Legal forms and joining words are left out, ``trade by stem`` is turned round, of ``x t/a y`` y counts. No
+    list of trades is used: any word may be one."""
+    text = plain(name).replace("'", "")
+    text = re.split(r"\bt\s*/\s*a\b", text)[-1] or text
+    text = re.sub(r"\bp\W{1,2}l\b", " ", text)
+    words = [w for w in re.sub(r"[^a-z0-9 ]+", " ", text.replace("/", "")).split() if w not in LEGAL and w not in JOINERS]
+    if "by" in words[1:-1]:
         i = words.index("by", 1)
         words = words[i + 1:] + words[:i]
-    stem, trade, i = [], set(), 0
-    while i < len(words):
-        w = words[i]
-        if tuple(words[i:i + 2]) in TRADE_PAIRS and (stem or len(words) > 2):
-            trade.add(TRADE_PAIRS[tuple(words[i:i + 2])])
-            i += 2
-            continue
-        if w in TRADE_WORDS:
-            trade.add(TRADE_WORDS[w])
-        elif w in TRADE_FILLERS:
-            if w in ("hire", "hre"):
-                trade.add("hire")
-        elif w not in SUFFIXES:
-            stem.append(w)
-        i += 1
-    if trade == {"access"}:
-        trade = {"access", "hire"}
-    elif trade == {"hire"} and "p" in text.split():
-        trade = {"plant"}
-    if "crane" in trade or "plant" in trade:
-        trade.discard("hire")
-    return " ".join(stem), " ".join(sorted(trade))
+    n = 1
+    while n < len(words) and len("".join(words[:n])) < ALONE:
+        n += 1
+    return "".join(words[:n]), " ".join(words[n:])
+
+
+def _near(a: str, b: str) -> bool:
+    """One letter added, dropped or changed, or two neighbours swapped."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[i + 1:] == b[i:] or a[i:] == b[i + 1:] or a[i + 1:] == b[i + 1:] or (a[i:i + 2] == b[i:i + 2][::-1] and a[i + 2:] == b[i + 2:])
+
+
+def word_fits(a: str, b: str) -> bool:
+    """Two spellings of one descriptive word: equal, of one family (``FAMILY`` letters alike at the start), one an abbreviation
+    of the other (its letters in order, the first one the same), or with the same first letter a typing error apart."""
+    if a == b:
+        return True
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return False
+    rest = iter(long)
+    return (a[:FAMILY] == b[:FAMILY] and len(short) >= FAMILY) or (short[0] == long[0] and all(c in rest for c in short)) or (short[0] == long[0] and len(short) > FAMILY and _near(a, b))
+
+
+@lru_cache(1 << 16)
+def trades_fit(a: str, b: str) -> bool:
+    """Whether two descriptions may be of one trade: their first words fit, apart or run together with the second; a single
+    letter only if the next words fit too. A missing description contradicts none."""
+    x, y = a.split(), b.split()
+    if not x or not y:
+        return True
+    for p, q in ((x[:1], y[:1]), (x[:2], y[:1]), (x[:1], y[:2])):
+        if len(p) == len(q) == 1 and min(len(p[0]), len(q[0])) == 1:
+            if word_fits(p[0], q[0]) and len(x) > 1 and len(y) > 1 and word_fits(x[1], y[1]):
+                return True
+        elif word_fits("".join(p), "".join(q)):
+            return True
+    return False
 
 
 def town_key(text: str | None) -> str:
@@ -213,6 +217,11 @@ def name_parts(name: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_name(x) for x in name], columns=["stem", "trade"])
 
 
+@F.pandas_udf(T.BooleanType())
+def same_trade(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([trades_fit(x or "", y or "") for x, y in zip(a, b)], dtype=bool)
+
+
 @F.pandas_udf(T.StringType())
 def town_of(town: pd.Series) -> pd.Series:
     return town.map(town_key)
@@ -239,7 +248,7 @@ def shortened(text: Column) -> Column:
 
 
 def affixes(text: Column) -> Column:
-    """First and last letters: two texts of four or more letters one edit or swap apart share one of these."""
+    """First and last letters: two texts of three or more letters one edit or swap apart share one of these."""
     ends = lambda n: [F.concat(F.lit(f"<{n}"), F.substring(text, 1, n)), F.concat(F.lit(f">{n}"), F.right(text, F.lit(n)))]
     few = F.array(F.concat(F.lit("="), text), *ends(1))
     return F.array_distinct(F.when(F.length(text) > 7, F.array(*ends(3))).when(F.length(text) > 5, F.array(*ends(3), *ends(2))).when(

@@ -14,13 +14,21 @@ OBS = "org_id string, predicate string, object_value string, normalisation_statu
 
 
 @pytest.mark.parametrize("name, want", [
-    ("The Vomapplin Demolition Proj. (PTY) LTD", ("vomapplin", "demolition")), ("Props by Fapladim", ("fapladim", "propping")), ("Miwudin t/a Miwudin Steelfixing Proj.", ("miwudin", "steelfixing")),
-    ("Fosiwam, Water Proofing", ("fosiwam", "waterproofing")), ("Kudrafal P. Hire P/L", ("kudrafal", "plant")), ("Nusrimom Access Pty Limited", ("nusrimom", "access hire")),
-    ("Kritaru Ind Access", ("kritaru", "access industrial")), ("Vizâmor Shore'g and Maintenance PTY. LTD.", ("vizamor", "shoring")), (None, ("", "")), ("", ("", ""))])
+    ("The Vomapplin Demolition Proj. (PTY) LTD", ("vomapplin", "demolition proj")), ("Props by Fapladim", ("fapladim", "props")), ("Miwudin t/a Miwudin Steelfixing Proj.", ("miwudin", "steelfixing proj")),
+    ("Fosiwam, Water Proofing", ("fosiwam", "water proofing")), ("Kudrafal P. Hire P/L", ("kudrafal", "p hire")), ("Nusrimom Access Pty Limited", ("nusrimom", "access")),
+    ("Vizâmor Shore'g and F/work PTY. LTD.", ("vizamor", "shoreg fwork")), ("A B Smith Joinery", ("absmith", "joinery")), ("By", ("by", "")), ("Ltd", ("", "")), (None, ("", "")), ("", ("", ""))])
 def test_names(name, want):
     assert spelling.parse_name(name) == want
 
 
+@pytest.mark.parametrize("a, b, fits", [
+    ("roofing", "roofs services", True), ("p hire", "plant hre group", True), ("p hire", "propping", False), ("fwork", "form work", True), ("water proofing", "waterproofing", True),
+    ("joinery", "joiners group", True), ("joinery", "plumbing", False), ("conc pumps", "concrete pumping", True), ("insul", "industrial access", False), ("roofing", "proofing", False),
+    ("", "roofing", True), ("shorign", "shoring", True), ("access", "edge protection", False)])
+def test_trades(a, b, fits):
+    assert spelling.trades_fit(a, b) is fits and spelling.trades_fit(b, a) is fits
+
+
 A = lambda **k: {**dict.fromkeys(spelling.PARTS, ""), **k}
 
 
@@ -41,13 +49,13 @@ def test_one_edit_keys(spark):
     r = random.Random(5)
     pairs = []
     for _ in range(400):
-        w = "".join(r.choice("abc") for _ in range(r.randrange(4, 11)))
+        w = "".join(r.choice("abc") for _ in range(r.randrange(3, 11)))
         i = r.randrange(len(w))
         pairs.append((w, r.choice([w[:i] + w[i + 1:], w[:i] + r.choice("abc") + w[i:], w[:i] + r.choice("abc") + w[i + 1:], w[:i] + w[i:i + 2][::-1] + w[i + 2:]])))
     df = spark.createDataFrame(pairs, "a string, b string")
     a, b = F.col("a"), F.col("b")
     assert df.where(~spelling.one_edit(a, b)).count() == 0
-    assert df.where(~F.arrays_overlap(spelling.affixes(a), spelling.affixes(b)) & (F.least(F.length(a), F.length(b)) >= 4)).count() == 0
+    assert df.where(~F.arrays_overlap(spelling.affixes(a), spelling.affixes(b)) & (F.least(F.length(a), F.length(b)) >= 3)).count() == 0
     assert df.where(~F.arrays_overlap(spelling.shortened(a), spelling.shortened(b))).count() == 0
 
 
@@ -77,6 +85,29 @@ def test_match_rules_and_decoys(spark):
     assert all(0 < c <= 1 for _, c in got.values())
 
 
+def test_match_any_trade_and_short_names(spark):
+    org = [("o1", "Zifidrus Joinery Pty Ltd", None, [], "x"), ("o2", "Zifidrus Plumbing", None, [], "x"), ("o3", "Abe Roofs", None, [], "x"), ("o4", "Bea Roofs", None, [], "x")]
+    loc = [(f"l{i}", f"o{i}", None, "Tusubourne", "QLD", "9644", 1) for i in (1, 2, 3, 4)]
+    lst = [("a", "Zifidrus Joinery", "Tusubourne", "QLD", "9644", None, None, "z"), ("b", "Zifidruss Joinery Co", "Tusubourne", None, None, None, None, "z"), ("c", "Aeb Roofing", "Tusubourne", None, None, None, None, "z"),
+           ("d", "Zifidrus", "Tusubourne", None, None, None, None, "z")]
+    assert set(matched(spark, lst, org, (), loc)) == {("o1", "a"), ("o1", "b"), ("o3", "c"), ("o1", "d"), ("o2", "d")}
+
+
+def test_hints(spark):
+    rows = [("9123", "51824759123", True), ("ends 59123", "51824759123", True), ("…759123", "51824759123", True), ("518 247 ***", "51824759123", True), ("Q1 234 ***", "Q1234567", True),
+            ("ends ***", "51824759123", False), ("", "51824759123", False), ("12", "51824759112", False), ("518 247", "51824759123", False)]
+    df = spark.createDataFrame(rows, "h string, v string, w boolean")
+    assert df.where(entity_match.hint_fits(F.col("h"), F.col("v")) != F.col("w")).count() == 0
+
+
+def test_hint_rule_is_labelled_by_phone(spark):
+    org = [(f"o{i}", f"Name{'abcdefgh'[i] * 4} Roofing", None, [], "x") for i in range(8)]
+    idn = [(f"o{i}", f"1000000{i}0{i}0", None) for i in range(8)]
+    lst = [(f"l{i}", f"Name{'abcdefgh'[i] * 4} Roofs", None, None, None, f"07 1234 567{i}", f"{i}0{i}0".rjust(4, "0"), "z") for i in range(8)]
+    got = matched(spark, lst, org, idn, (), [(f"o{i}", "phone", "07 9999 9999", "raw") for i in range(8)])
+    assert set(got) == {(f"o{i}", f"l{i}") for i in range(8)} and {c for _, c in got.values()} == {0.0}
+
+
 def test_match_empty(spark):
     assert matched(spark, [], []) == {} and matched(spark, [("a", "Acme Cladding", "T", None, None, None, None, None)], []) == {}
 

@@ -97,3 +97,18 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, ho
     spread = left.withColumn(salt, F.pmod(F.xxhash64(*(others or [F.col(key)])), F.lit(salts)).cast("int"))
     copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [key, salt], how).drop(salt)
+
+
+def pairs_within(rows: DataFrame, group: str, member: str, keep: list[str] | None = None, block: int = 512) -> DataFrame:
+    """``(member_a, member_b)``, the smaller first, of all different members of each group, with ``keep`` of both sides.
+
+    A group of more than ``block`` rows is cut into blocks by hash, and each pair of blocks is a task's key of its own, so no
+    task pairs out a hot group. Every pair comes out once for each pair of its rows.
+    """
+    keep = keep or []
+    cut = rows.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("__n")).where("__n > 1")
+    sized = rows.join(cut, group, "left").withColumn("__n", F.coalesce("__n", F.lit(1))).withColumn("__b", F.pmod(F.xxhash64(member), F.col("__n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    side = lambda df, p, i, j: df.select(group, F.col(i).alias("__i"), F.col(j).alias("__j"), *[F.col(c).alias(f"{c}_{p}") for c in (member, *keep)])
+    spread = sized.withColumn("__o", every)
+    return side(spread, "a", "__b", "__o").join(side(spread, "b", "__o", "__b"), [group, "__i", "__j"]).where(f"{member}_a < {member}_b").drop("__i", "__j")

@@ -1,10 +1,11 @@
 """Same postal address written differently: a set-containment join on address components.
 
 Addresses are parsed into components and written in one spelling; towns are mended and filled by the table's own
-gazetteer. Each distinct form is a set of tokens, composite so that each is rare. A form is indexed under all
-tokens that another form shares, and fuller forms (equal ones too) probe with all of theirs. A candidate is kept if the weight of the lesser form
-is contained in the fuller one and no component contradicts. Forms without any town are placed last, where exactly one
-place fits.
+gazetteer, misspelt streets by the other addresses at their number and town. Each distinct form is then a set of tokens,
+one per face (box, street) and set of optional parts. Each form is indexed under its rarest token only, fuller forms probe
+with all of theirs, and a candidate is kept if enough of the lesser form's weight is contained in the fuller one and no
+component contradicts. A form that lacks its town or street type denotes a place only if all fuller forms that hold it
+denote that one.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.gazetteer import complete_places
 from ledgerloom.llm.spelling import address_parts, affixes, one_edit, shortened
-from ledgerloom.operators.components import connected_components
-from ledgerloom.session import Stash, salted_join
+from ledgerloom.session import Stash, pairs_within, salted_join
 
 FORM = ("box", "unit", "number", "street", "type", "direction", "town")
 #: Fixed weights of the components by how much they tell, and the least share of the lesser form's weight the fuller must hold.
 WEIGHTS = {"box": 4.0, "number": 2.0, "unit": 2.0, "street": 4.0, "type": 1.0, "direction": 1.0, "town": 3.0}
 CONTAINED = 0.8
+#: Parts of a street address that are the same or it is another one, blank or not; the others may be missing.
+STRICT = ("unit", "direction")
+KINDS = ("box", "street")
 
 
 def parsed_locations(locations: DataFrame) -> DataFrame:
@@ -32,83 +35,150 @@ def parsed_locations(locations: DataFrame) -> DataFrame:
         "box <> '' or (number <> '' and street <> '')")
 
 
-def _joined(kind: str, *columns: str) -> Column:
-    return F.concat_ws("|", F.lit(kind), *columns)
+def _joined(*parts: Column | str) -> Column:
+    return F.concat_ws("|", *parts)
 
 
-def _tokens() -> Column:
-    """Composite tokens of a form with a town. Each leaves out part of one text, its head or its tail, so that two forms
-    that differ by a typing error in that text still share one: of the street with the town whole, and of the town with the
-    street whole. A box is told by number and town."""
-    premises = ("number", "unit", "type", "direction")
-    street, town = F.col("street") != "", F.col("town") != ""
-    ends = lambda head, text: F.transform(affixes(F.col(text)), lambda e: F.concat_ws("|", head, e))
-    none = F.array().cast("array<string>")
-    return F.concat(
-        F.when(street & town, F.concat(ends(_joined("street", *premises, "town"), "street"), ends(_joined("town", *premises, "street"), "town"))).otherwise(none),
-        F.when((F.col("box") != "") & town, F.array(_joined("box", "box", "town"))).otherwise(none))
+def same_street(x: Column, y: Column) -> Column:
+    """Equal but for typing errors: one, two from six letters on, three from eight."""
+    short = F.least(F.length(x), F.length(y))
+    return (F.levenshtein(x, y) <= F.when(short >= 8, 3).when(short >= 6, 2).otherwise(1)) | one_edit(x, y)
 
 
-def same_component(x: Column, y: Column, most: int) -> Column:
-    short = F.least(F.length(x), F.length(y))
-    return (F.levenshtein(x, y) <= F.when(short >= 8, most + 1).when(short >= 6, most).otherwise(1)) | one_edit(x, y)
+def mended_streets(forms: DataFrame, stash: Stash) -> DataFrame:
+    """``forms`` (form, n, components) with the street and town of the form they are a misspelling of.
+
+    Two forms are spellings of one if number, unit, type and direction are the same, and the street is but for typing errors
+    in one town, or the town is in one street. Candidates meet on composite tokens that leave out the head or the tail of
+    the street or of the town, one of which a typing error leaves as it is. A form is written as the neighbour that most
+    locations have, then the one with most neighbours; only direct neighbours count, so no chain of errors joins two streets.
+    A form without a town takes the one near street at its number, if there is only one.
+    """
+    premises = ("number", *STRICT, "type")
+    whole = forms.where("street <> '' and town <> ''")
+    ends = lambda head, text: F.transform(affixes(F.col(text)), lambda e: _joined(*head, e))
+    tokens = F.concat(ends((F.lit("street"), *premises, "town"), "street"), ends((F.lit("town"), *premises, "street"), "town"))
+    rows = whole.select(F.explode(tokens).alias("token"), F.struct("form", "street", "town").alias("f"))
+    # most tokens are held by one form; the others, all of them, are paired: which of its tokens a form shares with its
+    # misspelling cannot be told from how rare they are
+    live = stash.put(rows.join(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token").select("token", "f"))
+    a, b = live.select("token", F.col("f").alias("x")), live.select("token", F.col("f").alias("y"))
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    near = ((x("town") == y("town")) & same_street(x("street"), y("street"))) | ((x("street") == y("street")) & one_edit(x("town"), y("town")))
+    links = stash.put(a.join(b, "token").where((x("form") != y("form")) & near).select(x("form").alias("form"), y("form").alias("other")).distinct())
+    rank = stash.put(links.groupBy("form").agg(F.count("*").alias("degree")).join(whole.select("form", "n", "street", "town"), "form").select(
+        "form", F.struct("n", "degree", "form", "street", "town").alias("r")))
+    best = links.join(rank.select(F.col("form").alias("other"), "r"), "other").groupBy("form").agg(F.max("r").alias("best"))
+    fixed = best.join(rank, "form").where("best > r").select("form", F.col("best.street").alias("as_street"), F.col("best.town").alias("as_town"))
+    mended = stash.put(forms.join(fixed, "form", "left").withColumns({
+        "street": F.coalesce("as_street", "street"), "town": F.coalesce("as_town", "town")}).drop("as_street", "as_town"))
+
+    spelt = lambda df: df.withColumn("token", F.explode(F.transform(shortened(F.col("street")), lambda s: _joined(*premises, s))))
+    known = spelt(mended.where("street <> '' and town <> ''")).groupBy("token").agg(F.min("street").alias("least"), F.max("street").alias("most"))
+    open_forms = spelt(mended.where("street <> '' and town = ''")).join(known, "token").groupBy("form").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    only = open_forms.where("least = most").select("form", F.col("least").alias("as_street"))
+    return mended.join(only, "form", "left").withColumn("street", F.coalesce("as_street", "street")).drop("as_street")
+
+
+def _face_tokens(face: str, core: tuple[str, ...], optional: tuple[str, ...]) -> Column:
+    """Tokens of a face, one for each set of its filled optional parts; the first has all that are filled."""
+    sets = [tuple(c for i, c in enumerate(optional) if not k >> i & 1) for k in range(1 << len(optional))]
+    part = lambda c, on: F.col(c) if on else F.lit("")
+    return F.array_distinct(F.array(*[_joined(F.lit(face), *core, *[part(c, c in on) for c in optional]) for on in sets]))
+
+
+def _tokens(box: str = "box", street: str = "street") -> Column:
+    """(kind, token, own) of a form: the tokens of its faces; own marks the one with all filled parts of its face."""
+    none = F.array().cast("array<struct<kind:string,token:string,own:boolean>>")
+    face = lambda kind, tokens: F.when(F.col(kind) != "", F.transform(tokens, lambda t, i: F.struct(F.lit(kind).alias("kind"), t.alias("token"), (i == 0).alias("own")))).otherwise(none)
+    return F.concat(face("box", _face_tokens("box", ("box",), ("town",))), face("street", _face_tokens("street", ("number", "street", *STRICT), ("town", "type"))))
 
 
 def _contained(x: str, y: str) -> Column:
-    """The form with columns ``x_...`` is held by the one with ``y_...``: its weight is contained, nothing contradicts."""
-    equal = lambda c: F.col(f"{x}_{c}") == F.col(f"{y}_{c}")
-    near = {"street": same_component(F.col(f"{x}_street"), F.col(f"{y}_street"), 2), "town": equal("town") | (one_edit(F.col(f"{x}_town"), F.col(f"{y}_town")) & (F.col(f"{x}_box") == ""))}  # box numbers recur in every town
-    filled = lambda p, c: F.col(f"{p}_{c}") != ""
-    held = sum(F.when(filled(x, c) & filled(y, c) & near.get(c, equal(c)), w).otherwise(0.0) for c, w in WEIGHTS.items())
-    whole = sum(F.when(filled(x, c), w).otherwise(0.0) for c, w in WEIGHTS.items())
-    same_rest = reduce(lambda a, b: a & b, [equal(c) for c in ("box", "unit", "number", "type", "direction")])
-    return same_rest & near["street"] & near["town"] & (equal("street") | equal("town")) & (held >= CONTAINED * whole)
-
-
-def _placed_open(open_forms: DataFrame, closed: DataFrame, groups: DataFrame, stash: Stash) -> DataFrame:
-    """``(form, place)`` of the forms without a town that fit exactly one place. Per token only whether all fuller forms
-    with it denote one place is kept, so a street name found in many towns costs no pairs."""
-    premises = ("number", "unit", "type", "direction")
-    token = lambda df: df.withColumn("token", F.explode(F.transform(shortened(F.col("street")), lambda s: F.concat_ws("|", *premises, s))))
-    known = token(closed.where("street <> ''").join(groups, "form")).groupBy("token").agg(F.min("place").alias("place"), F.max("place").alias("last"))
-    mine = stash.put(token(open_forms.where("street <> ''")).join(known, "token"))
-    fits = mine.groupBy("form").agg(F.min("place").alias("place"), F.max("last").alias("last"))
-    return fits.where("place = last").select("form", "place")
+    """Enough of the weight of the form with columns ``x.…`` is held by the one with ``y.…``, and nothing contradicts: no part
+    that both have differs, nor, where both have a street, one of the strict parts."""
+    at = lambda p, c: F.col(f"{p}.{c}")
+    streets = (at(x, "street") != "") & (at(y, "street") != "")
+    clash = [at(x, c) != at(y, c) if c in STRICT else (at(x, c) != "") & (at(y, c) != "") & (at(x, c) != at(y, c)) for c in FORM]
+    clash = [streets & k if c in STRICT else k for c, k in zip(FORM, clash)]
+    held = sum(F.when((at(x, c) != "") & (at(x, c) == at(y, c)), w).otherwise(0.0) for c, w in WEIGHTS.items())
+    return ~reduce(lambda p, q: p | q, clash) & (held >= CONTAINED * at(x, "weight"))
+
+
+def containments(forms: DataFrame, stash: Stash) -> DataFrame:
+    """``(x, y, kind)``, structs of the form and its components: the lesser form x is contained in the fuller y.
+
+    ``forms``: form and components, distinct. x is indexed under its rarest token of those with all filled parts of a face,
+    y probes with all its tokens; y has more weight.
+    """
+    weight = sum(F.when(F.col(c) != "", w).otherwise(0.0) for c, w in WEIGHTS.items())
+    rows = stash.put(forms.select(F.struct("form", weight.alias("weight"), *FORM).alias("f"), F.explode(_tokens()).alias("t")).select("f", "t.*"))
+    df = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")  # a token of one form only leads nowhere
+    shared = stash.put(rows.join(df, "token"))
+    full = F.min(F.struct("df", "token", "kind", "f"))  # forms whose own token no other form has are indexed nowhere
+    index = shared.where("own").groupBy("f.form").agg(full.alias("r")).select("r.token", "r.kind", F.col("r.f").alias("x"))
+    probe = shared.select("token", F.col("f").alias("y"))
+    return index.join(probe, "token").where("y.weight > x.weight").where(_contained("x", "y")).select("x", "y", "kind")
+
+
+def _place(kind: str, p: str = "") -> Column:
+    """The place a form denotes by one face; null if the face is missing or lacks its town or street type."""
+    at = lambda c: F.col(f"{p}{c}")
+    if kind == "box":
+        return F.when((at("box") != "") & (at("town") != ""), _joined(F.lit("box"), at("box"), at("town")))
+    parts = ("number", "street", "type", *STRICT, "town")
+    return F.when((at("street") != "") & (at("town") != "") & (at("type") != ""), _joined(F.lit("street"), *[at(c) for c in parts]))
 
 
 def place_groups(locations: DataFrame, stash: Stash) -> DataFrame:
-    """``(location_id, place)``: locations with one place denote the same premises."""
+    """``(location_id, kind, place, other)``: locations with one place denote the same premises by that face, box or street;
+    ``other`` is the place of the other face, where the address has both."""
     parsed = stash.put(parsed_locations(locations))
     full = complete_places(parsed, parsed.select("town", "postcode"), stash)
-    placed = stash.put(full.select("location_id", *FORM, F.md5(F.concat_ws("|", *FORM)).alias("form")))
-    forms = stash.put(placed.select("form", *FORM).distinct())
-    closed, open_forms = forms.where("town <> ''"), forms.where("town = ''")
-
-    parts = sum(F.when(F.col(c) != "", 1).otherwise(0) for c in FORM)
-    tokens = closed.select(F.explode(_tokens()).alias("token"), F.struct("form", parts.alias("parts"), *FORM).alias("f"))
-    # A misspelt token is often held by one form only: the index takes those that others hold too. It takes all of them, as
-    # which of its tokens a form shares with its misspelling cannot be told from how rare they are.
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    live = stash.put(tokens.join(shared, "token").select("f", "token"))
-    side = lambda df, p: df.select("token", *[F.col(f"f.{c}").alias(f"{p}_{c}") for c in ("form", "parts", *FORM)])
-    fuller = (F.col("y_parts") > F.col("x_parts")) | ((F.col("y_parts") == F.col("x_parts")) & (F.col("y_form") != F.col("x_form")))
-    links = side(live, "x").join(side(live, "y"), "token").where(fuller & _contained("x", "y")).select("x_form", "y_form").distinct()
-    found = connected_components(stash.put(links), "x_form", "y_form", stash)
-    groups = stash.put(closed.select("form").join(found.withColumnRenamed("id", "form"), "form", "left").select("form", F.coalesce("component", "form").alias("place")))
-    every = stash.put(groups.unionByName(_placed_open(open_forms, closed, groups, stash)))
-    return salted_join(placed.select("location_id", "form"), every, "form", how="inner").select("location_id", "place").distinct()
+    placed = stash.put(full.select("location_id", *FORM, F.md5(_joined(*FORM)).alias("form")))
+    forms = stash.put(mended_streets(placed.groupBy("form", *FORM).agg(F.countDistinct("location_id").alias("n")), stash))
+    spelt = stash.put(forms.withColumn("spelt", F.md5(_joined(*FORM))))
+    distinct = stash.put(spelt.groupBy(F.col("spelt").alias("form"), *FORM).agg(F.sum("n").alias("n")).drop("n"))
+    held = stash.put(containments(distinct, stash))
+    faces = []
+    for kind in KINDS:
+        own = distinct.select("form", _place(kind).alias("own"), (F.col(kind) != "").alias("has"))
+        # a face that lacks a part: the one place of the fuller forms that hold it
+        fuller = held.where(F.col("kind") == kind).groupBy(F.col("x.form").alias("form")).agg(
+            F.min(_place(kind, "y.")).alias("least"), F.max(_place(kind, "y.")).alias("most"))
+        found = own.where("has").join(fuller, "form", "left").withColumn(
+            "place", F.coalesce("own", F.when(F.col("least") == F.col("most"), F.col("least")))).where("place is not null")
+        faces.append(found.select("form", F.lit(kind).alias("kind"), "place"))
+    both = faces[0].unionByName(faces[1])
+    per_form = both.groupBy("form").agg(F.collect_list(F.struct("kind", "place")).alias("faces"))  # at most two
+    named = spelt.select(F.col("form"), "spelt").join(per_form.withColumnRenamed("form", "spelt"), "spelt").select("form", "faces")
+    rows = salted_join(placed.select("location_id", "form"), stash.put(named), "form", how="inner")
+    return rows.select("location_id", F.explode("faces").alias("at"), "faces").select(
+        "location_id", "at.kind", "at.place", F.get(F.filter("faces", lambda f: f["kind"] != F.col("at.kind")), F.lit(0))["place"].alias("other")).distinct()
 
 
 def same_places(locations: DataFrame) -> DataFrame:
     """``(location_id_a, location_id_b)``, the smaller first, of all different locations that denote the same premises.
 
     Same box, or same number with its letter, unit (none is not the same as some), street with type and direction; and
-    same town. Building names, postcode and state do not matter. Rows without a box and without number and street denote
-    no premises and match nothing, nor do rows whose town is neither given nor told by the postcode nor by the only place
-    that fits; so do rows with null id. Nulls in other columns count as missing parts; repeated rows
-    count once, extra columns are ignored, and an empty table gives an empty result.
+    same town. Two addresses that share one face and contradict each other in the other do not match. Building names,
+    postcode and state do not matter. Rows without a box and without number and street denote no premises and match
+    nothing, nor does a row whose town or street type is neither given nor told by the postcode nor by the only place that fits,
+    nor one with a null id. Nulls in other columns count as missing parts; repeated rows
+    count once, extra columns are ignored, and an empty table gives an empty result. A place with any number of locations is
+    paired in blocks.
     """
     stash = Stash(locations.sparkSession)
     places = stash.put(place_groups(locations, stash))
-    a, b = places.select(F.col("location_id").alias("location_id_a"), "place"), places.select(F.col("location_id").alias("location_id_b"), "place")
-    return a.join(b, "place").where("location_id_a < location_id_b").select("location_id_a", "location_id_b").distinct()
+    pairs = pairs_within(places, "place", "location_id", ["other"])
+    agree = F.col("other_a").isNull() | F.col("other_b").isNull() | (F.col("other_a") == F.col("other_b"))
+    return pairs.where(agree).select("location_id_a", "location_id_b").distinct()
+
+
+def place_members(locations: DataFrame) -> DataFrame:
+    """``(location_id, kind, place)``: the place of each location by box and by street, as one row each; the smallest
+    location_id of a place names it. The form of the result that stays as small as the table."""
+    stash = Stash(locations.sparkSession)
+    places = stash.put(place_groups(locations, stash).select("location_id", "kind", "place"))
+    least = places.groupBy("place").agg(F.min("location_id").alias("first"))
+    return salted_join(places, least, "place", how="inner").select("location_id", "kind", F.col("first").alias("place")).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm.addresses import same_places
+from ledgerloom.llm.addresses import place_members, same_places
 from ledgerloom.llm.entity_match import match
 from ledgerloom.llm.groups import PLACEHOLDERS, golden_records, groups, merge_sets, surviving_facts
 from ledgerloom.llm.leakage import leaked_items
@@ -40,6 +40,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return same_places(table(spark, d, "org_location"))
 
 
+def p4_places(spark: SparkSession, d: str) -> DataFrame:
+    """Place of each location: one row per location and kind of place."""
+    return place_members(table(spark, d, "org_location"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_passages(spark, d).select("doc_id", "item_id")
 
@@ -67,7 +72,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return repaired(table(spark, d, "documents")).where("garbled").selectExpr("doc_id", "text", "size(spans) as n_spans")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p3_found, p3_records, p4_found, p8_found, p8_passages, p9_documents, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p3_found, p3_records, p4_found, p4_places, p8_found, p8_passages, p9_documents, p9_shares, p10_found, p10_restored)}
 
 _PLACEHOLDERS = ", ".join(f"'{x}'" for x in PLACEHOLDERS)
 

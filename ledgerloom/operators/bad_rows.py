@@ -1,8 +1,10 @@
 """Rows that fail to parse, set apart with the reason while the others load.
 
-Method: blocks of records of one format are bulk-parsed on a columnar path (Arrow CSV reader and vectorised checks over
-the whole block). A block that does not pass whole is bisected, recursively, until single records are isolated; those
-are diagnosed by a strict character-level reader. A record is loaded only from a passing block or a clean diagnosis.
+Method: blocks of records of one format are parsed on a columnar path. One vectorised pattern tells which records have
+the form of the run, those are read in bulk by the Arrow CSV reader, and the checks of name, email and phone are masks over
+the columns read. A block that the reader refuses is bisected, recursively, until single records are isolated. Isolated
+records, those without the form, and those with characters on which the pattern engines differ are diagnosed by a strict
+character-level reader.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,8 +29,8 @@ EXTENSION = r"(?i)[\s,;]*(ext|x)\.?:?\s*\d+$"
 PHONE_CHARS = r"^[0-9+().\-/\s]*$"
 SCHEMA = "run_id string, line_no int, reason string, name string, email string, phone string, fields array<string>"
 BLOCK = 4096
-#: A failing block of no more records than this is read strictly at once: bisecting it further costs more than that.
-LEAF = 24
+#: Columns up to which the form of a record is told by one pattern; wider records are read strictly.
+MAX_WIDTH = 900
 MAX_BLOCK_BYTES = 16 << 20
 
 
@@ -89,17 +92,18 @@ def diagnose(raw: str, sep: str, width: int, at: dict[str, int]) -> tuple[str |
     return None, fields
 
 
-def _block_ok(records: list[str], sep: str, width: int, at: dict[str, int]) -> list[list[str]] | None:
-    """The columns of a block in which every record is good, else None."""
-    if len(sep) != 1 or sep in '"\r\n' or ord(sep) > 127 or not width:
-        return None
-    raw = pa.array(records, pa.string())
+def _formed(raw: pa.Array, sep: str, width: int) -> np.ndarray:
+    """Which records have whole quoting and the run's number of fields."""
+    if len(sep) != 1 or sep in '"\r\n' or ord(sep) > 127 or not 0 < width <= MAX_WIDTH:
+        return np.zeros(len(raw), dtype=bool)
     s = re.escape(sep)
     field = rf'(?:"(?:[^"]|"")*"|[^"{s}][^"{s}]*|)'
-    if not pc.all(pc.match_substring_regex(raw, rf"^(?s:{field}(?:{s}{field})*)$")).as_py():
-        return None
-    if pc.any(pc.equal(pc.utf8_length(raw), 0)).as_py():
-        return None
+    good = pc.match_substring_regex(raw, rf"^(?s:{field}(?:{s}{field}){{{width - 1}}})$")
+    return pc.and_(good, pc.greater(pc.utf8_length(raw), 0)).to_numpy(zero_copy_only=False)
+
+
+def _read(records: list[str], sep: str, width: int) -> list[pa.Array] | None:
+    """The columns of a block of well-formed records, or None where the reader refuses it."""
     try:
         data = "\n".join(records).encode()
         got = pcsv.read_csv(
@@ -108,41 +112,54 @@ def _block_ok(records: list[str], sep: str, width: int, at: dict[str, int]) -> l
             pcsv.ConvertOptions(column_types={str(i): pa.string() for i in range(width)}, strings_can_be_null=False))
     except (pa.ArrowInvalid, UnicodeEncodeError):
         return None
-    if got.num_rows != len(records):
-        return None
-    column = {k: got.column(i).combine_chunks() for k, i in at.items()}
-    if "name" not in column or not pc.all(pc.match_substring_regex(column["name"], r"\p{L}")).as_py():
-        return None
-    if "email" in column:
-        x = pc.utf8_trim_whitespace(column["email"])
-        if not pc.all(pc.or_(pc.equal(x, ""), pc.match_substring_regex(x, EMAIL))).as_py():
-            return None
-    if "phone" in column:
-        x = pc.utf8_trim_whitespace(column["phone"])
+    return [got.column(i).combine_chunks() for i in range(width)] if got.num_rows == len(records) else None
+
+
+def _reasons(columns: list[pa.Array], at: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(first reason or None, whether to read strictly) of each record of a block, by masks over its columns."""
+    n = len(columns[0])
+    mask = lambda m: m.to_numpy(zero_copy_only=False)
+    reason, strict = np.full(n, None, dtype=object), np.zeros(n, dtype=bool)
+    reason[~mask(pc.match_substring_regex(columns[at["name"]], r"\p{L}")) if "name" in at else np.ones(n, dtype=bool)] = "missing_name"
+    if "email" in at:
+        x = pc.utf8_trim_whitespace(columns[at["email"]])
+        strict |= mask(pc.match_substring_regex(x, r"[^\x20-\x7e]"))
+        bad = ~mask(pc.or_(pc.equal(x, ""), pc.match_substring_regex(x, EMAIL)))
+        reason[bad & (reason == None)] = "invalid_email"  # noqa: E711
+    if "phone" in at:
+        x = pc.utf8_trim_whitespace(columns[at["phone"]])
+        strict |= mask(pc.match_substring_regex(x, r"[^\x20-\x7e]"))
         main = pc.replace_substring_regex(x, EXTENSION, "")
         digits = pc.utf8_length(pc.replace_substring_regex(main, r"[^0-9]", ""))
-        good = pc.and_(pc.match_substring_regex(main, PHONE_CHARS),
-                       pc.and_(pc.greater_equal(digits, 8), pc.less_equal(digits, 15)))
-        if not pc.all(pc.or_(pc.equal(x, ""), good)).as_py():
-            return None
-    return [got.column(i).to_pylist() for i in range(width)]
+        good = pc.and_(pc.match_substring_regex(main, PHONE_CHARS), pc.and_(pc.greater_equal(digits, 8), pc.less_equal(digits, 15)))
+        reason[~mask(pc.or_(pc.equal(x, ""), good)) & (reason == None)] = "invalid_phone"  # noqa: E711
+    return reason, strict
 
 
-def parse_block(records: list[str], sep: str, width: int, at: dict[str, int]) -> list[tuple[str | None, list[str] | None]]:
-    """Reason (None: loads) and fields of each record, by bulk parsing and recursive bisection."""
+def parse_block(records: list[str], sep: str, width: int, at: dict[str, int], strictly: list[int] | None = None) -> list[tuple[str | None, list[str] | None]]:
+    """Reason (None: loads) and fields of each record. ``strictly`` gets the places of the records read strictly."""
     out: list = [None] * len(records)
-    todo = [(0, len(records))]
+    formed = _formed(pa.array(records, pa.string()), sep, width)
+    alone = np.nonzero(~formed)[0].tolist()
+    todo = [np.nonzero(formed)[0]]
     while todo:
-        lo, hi = todo.pop()
-        columns = _block_ok(records[lo:hi], sep, width, at) if hi - lo > 1 else None
+        part = todo.pop()
+        columns = _read([records[i] for i in part], sep, width) if len(part) else None
         if columns is not None:
-            for k, fields in enumerate(zip(*columns)):
-                out[lo + k] = (None, list(fields))
-        elif hi - lo <= LEAF:
-            out[lo:hi] = [diagnose(r, sep, width, at) for r in records[lo:hi]]
-        else:
-            mid = (lo + hi) // 2
-            todo += [(lo, mid), (mid, hi)]
+            reason, strict = _reasons(columns, at)
+            for i, why, unsure, *fields in zip(part.tolist(), reason, strict, *[c.to_pylist() for c in columns]):
+                if unsure:
+                    alone.append(i)
+                else:
+                    out[i] = (why, fields)
+        elif len(part) == 1:
+            alone += part.tolist()
+        elif len(part):
+            todo += np.array_split(part, 2)
+    for i in alone:
+        out[i] = diagnose(records[i], sep, width, at)
+    if strictly is not None:
+        strictly += alone
     return out
 
 

@@ -47,6 +47,11 @@ def p6_loaded(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d).where("reason is null").select("run_id", "line_no", "name", "email", "phone")
 
 
+def p6_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """Records that no format is known for: their run is not in the table or has no separator or header."""
+    return _parsed(spark, d).where("reason = 'unknown_format'").select("run_id", "line_no")
+
+
 def statements(spark: SparkSession, d: str) -> DataFrame:
     """Sightings of identifiers and dated, not rejected observations as statements; exact duplicates fold away."""
     sightings = table(spark, d, "organisation_identifier").where("first_observed_at is not null").select(
@@ -80,7 +85,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
         F.date_format("valid_from", "yyyy-MM-dd HH:mm:ss").alias("valid_from"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_descendants, p6_found, p6_loaded, p7_found)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_descendants, p6_found, p6_loaded, p6_unknown, p7_found)}
 
 _UP = """
 links AS (SELECT org_id, min(CASE WHEN trim({col}) <> '' THEN {col} END) AS parent FROM organisation
@@ -147,5 +152,7 @@ SELECT c.here AS ancestor, c.org_id AS descendant, CAST(c.depth AS INTEGER) AS d
 WHERE c.depth > 0 AND c.org_id NOT IN (SELECT org_id FROM bad)""",
     "p6_found": f"WITH {_P6_PARSE} SELECT run_id, line_no, reason FROM reasons WHERE reason IS NOT NULL",
     "p6_loaded": f"WITH {_P6_PARSE} SELECT run_id, line_no, name, email, phone FROM reasons WHERE reason IS NULL",
+    "p6_unknown": """SELECT DISTINCT run_id, line_no FROM (SELECT DISTINCT run_id, line_no, raw_record FROM import_record) i
+WHERE NOT EXISTS (SELECT 1 FROM bulk_import_run r WHERE r.run_id = i.run_id AND field_sep <> '' AND header_line IS NOT NULL)""",
     "p7_found": _P7,
 }

@@ -15,11 +15,13 @@ KINDS = ("phone", "email", "website_domain", "registration_status", "employee_co
 
 
 def import_counters(spark: SparkSession, d: str) -> DataFrame:
-    """Rows, loaded and rejected rows per run, and how far the recorded row count is off."""
+    """Rows, loaded and rejected rows per run, and how far the recorded row count is off (null for a run that is not in the
+    table); runs without records count none."""
     rows = parse_records(table(spark, d, "import_record"), table(spark, d, "bulk_import_run"))
     counts = rows.groupBy("run_id").agg(F.count("*").alias("rows"), F.count_if(F.col("reason").isNull()).alias("loaded"), F.count_if(F.col("reason").isNotNull()).alias("rejected"))
     runs = table(spark, d, "bulk_import_run").groupBy("run_id").agg(F.max("row_count").alias("said"))
-    return runs.join(counts, "run_id").select("run_id", "rows", "loaded", "rejected", (F.col("said") - F.col("rows")).alias("off"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return runs.join(counts, "run_id", "full").select("run_id", none("rows"), none("loaded"), none("rejected"), (F.col("said") - F.coalesce("rows", F.lit(0))).alias("off"))
 
 
 def import_observations(spark: SparkSession, d: str) -> DataFrame:
@@ -89,9 +91,10 @@ QUERIES = {f.__name__: f for f in (import_counters, import_observations, identit
 
 _LAST = ", ".join(f"arg_max(object_value, struct_pack(a := observed_at, b := observation_id)) FILTER (predicate = '{k}') AS {k}" for k in KINDS)
 SQL = {
-    "import_counters": f"""WITH {_P6_PARSE}, runs2 AS (SELECT run_id, max(row_count) AS said FROM bulk_import_run GROUP BY 1)
-SELECT run_id, count(*) AS rows, count(*) FILTER (reason IS NULL) AS loaded, count(*) FILTER (reason IS NOT NULL) AS rejected, CAST(any_value(said) - count(*) AS BIGINT) AS off
-FROM reasons JOIN runs2 USING (run_id) GROUP BY run_id""",
+    "import_counters": f"""WITH {_P6_PARSE}, runs2 AS (SELECT run_id, max(row_count) AS said FROM bulk_import_run GROUP BY 1),
+every AS (SELECT run_id, reason FROM reasons UNION ALL SELECT DISTINCT run_id, 'unknown_format' FROM (SELECT DISTINCT * FROM import_record) WHERE run_id NOT IN (SELECT run_id FROM runs2)),
+counts AS (SELECT run_id, count(*) AS rows, count(*) FILTER (reason IS NULL) AS loaded, count(*) FILTER (reason IS NOT NULL) AS rejected FROM every GROUP BY 1)
+SELECT run_id, coalesce(rows, 0) AS rows, coalesce(loaded, 0) AS loaded, coalesce(rejected, 0) AS rejected, CAST(said - coalesce(rows, 0) AS BIGINT) AS off FROM counts FULL JOIN runs2 USING (run_id)""",
     "import_observations": f"""WITH {_P6_PARSE}, good AS (SELECT * FROM reasons WHERE reason IS NULL OR reason IN ('invalid_email', 'invalid_phone')),
 cells AS (SELECT run_id, line_no, 'canonical_name' AS predicate, trim(name) AS value, false AS bad FROM good
   UNION ALL SELECT run_id, line_no, 'email', trim(email), coalesce(reason = 'invalid_email', false) FROM good

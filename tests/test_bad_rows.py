@@ -47,3 +47,30 @@ def test_table(spark):
     got = {(r["run_id"], r["line_no"]): (r["reason"], r["name"]) for r in parse_records(recs, runs).collect()}
     assert got == {("r1", 2): (None, "Acme"), ("r1", 3): ("column_count", None), ("r2", 2): ("unknown_format", None), ("r9", 2): ("unknown_format", None), ("r1", 4): ("column_count", None)}
     assert parse_records(recs.limit(0), runs).count() == 0 and parse_records(recs, runs.limit(0)).where("reason <> 'unknown_format'").count() == 0
+
+
+def test_few_records_are_read_strictly():
+    records = [f"Name {i},n{i}@b.example,061234567{i % 10}" for i in range(2000)]
+    for i in range(0, 2000, 9):
+        records[i] = ("--,,", "Acme,a@b,", "Acme,,12", "Acme,x", 'A"c,x,')[i // 9 % 5]
+    read: list[int] = []
+    got = parse_block(records, ",", 3, AT, read)
+    assert got == [diagnose(x, ",", 3, AT) for x in records]
+    assert sorted(read) == [i for i in range(0, 2000, 9) if i // 9 % 5 > 2]
+
+
+def test_refused_blocks_are_bisected():
+    records = [f"N{i},," for i in range(300)]
+    records[77], records[150] = "N\n77,,", "N\r150,,"
+    read: list[int] = []
+    assert parse_block(records, ",", 3, AT, read) == [diagnose(x, ",", 3, AT) for x in records] and sorted(read) == [77, 150]
+
+
+def test_no_record_vanishes(spark):
+    from ledgerloom.plans import catalogue
+
+    path = "/root/testdata/sf0.001"
+    if not __import__("os").path.isdir(path):
+        pytest.skip("no test data")
+    whole = spark.read.parquet(f"{path}/import_record.parquet").distinct().count()
+    assert sum(catalogue.QUERIES[q](spark, path).count() for q in ("p6_found", "p6_loaded", "p6_unknown")) == whole

@@ -1,21 +1,30 @@
 """Text garbled by decoding with the wrong character encoding: found by a hidden Markov model, and restored.
 
-The model has one clean state and one state per pair (encoding the text was in, encoding it was read as). Only
-characters outside ASCII are labelled, as ASCII reads alike in every pair. A state emits what its inverse transform turns
+The model has one clean state, one state per pair (encoding the text was in, encoding it was read as), and one for
+characters lost in decoding. Only characters outside ASCII are labelled, as ASCII reads alike in every pair; a character
+reference such as ``&#195;`` is labelled as the character it stands for. A state emits what its inverse transform turns
 into a likely clean character: likely after the clean character before it, as counted over all documents, and fitting its
 neighbours; a character the pair cannot have produced is impossible in that state. The best path labels the characters,
 and each labelled span gets its state's inverse transform. Text garbled twice the usual way is a state of its own; what
 else was garbled twice is restored in two turns.
+
+Likelihoods are counted in two rounds: over all runs that do not read as garbled UTF-8, then over what the model of the
+first round labels clean. The best path is only searched for in texts with a run that some state explains better than the
+clean one does, the cost of switching left out; in all others it is clean throughout.
 """
 
 from __future__ import annotations
 
+import html
 import math
+import re
 import unicodedata
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,7 +68,11 @@ def _bytes_of(codec: str) -> dict[str, int]:
 BYTES = {c: _bytes_of(c) for c in {*UTF8_READ_AS, *(r for _, r in BYTE_PAIRS)}}
 CHARS = {c: {b: ch for ch, b in reversed(_bytes_of(c).items())} for c in {t for t, _ in BYTE_PAIRS}}  # the first of two wins
 INVERSE = {f"{t}>{r}": {ch: CHARS[t][b] for ch, b in BYTES[r].items() if b in CHARS[t]} for t, r in BYTE_PAIRS}
-STATES = (CLEAN, *(f"utf8>{c}" for c in UTF8_READ_AS), TWICE, *INVERSE)
+STATES = (CLEAN, *(f"utf8>{c}" for c in UTF8_READ_AS), TWICE, *INVERSE, LOST)
+REFERENCE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
+RUN = re.compile(r"[^\x00-\x7f]+")
+#: Runs whose scores a worker remembers.
+REMEMBERED = 1 << 17
 
 
 @lru_cache(1 << 16)
@@ -100,18 +113,20 @@ def decodable(run: str) -> bool:
     return any(decoded(run[i:i + 4], c) for i in range(len(run)) for c in UTF8_READ_AS)
 
 
-def runs_of(text: str) -> Iterator[tuple[int, int]]:
-    """Maximal runs of characters outside ASCII."""
-    i, n = 0, len(text)
-    while i < n:
-        if text[i] > "\x7f":
-            j = i
-            while j < n and text[j] > "\x7f":
-                j += 1
-            yield i, j
-            i = j
-        else:
-            i += 1
+def expanded(text: str) -> tuple[str, list[int] | None]:
+    """The text with its character references resolved, and for each of its characters, and its end, the offset in the given
+    one; None where there are no references."""
+    if "&" not in text or not REFERENCE.search(text):
+        return text, None
+    out, offsets, end = [], [], 0
+    for m in REFERENCE.finditer(text):
+        meant = html.unescape(m[0])
+        if meant == m[0] or (meant == REPLACEMENT and m[0].lower() not in ("&#65533;", "&#xfffd;")):  # a number no character has
+            continue
+        out += [text[end:m.start()], meant]
+        offsets += [*range(end, m.start()), *[m.start()] * len(meant)]
+        end = m.end()
+    return "".join(out) + text[end:], [*offsets, *range(end, len(text) + 1)]
 
 
 def _kind(c: str) -> str:
@@ -168,7 +183,8 @@ class Model:
         #: Log probability that a character outside ASCII is followed by another one at once.
         self.followed = {c: math.log((befores.get(c, 0) + 0.5) / (n + 1.0)) for c, n in counts.items()}
         self.unseen_followed = math.log(0.25)
-        self.memo: dict[tuple, list] = {}
+        self.memo: dict[tuple, list[tuple[int, float, str] | None]] = {}
+        self.plain_runs: dict[tuple[str, str, str], bool] = {}
         self.likely: dict[tuple[str, str], float] = {}
 
     def log_likely(self, before: str, c: str) -> float:
@@ -187,8 +203,12 @@ class Model:
         if got is not None:
             return got
         c = chars[0]
+        if c == REPLACEMENT:  # only decoding makes it
+            out = [None] * (len(STATES) - 1) + [(1, 0.0, c)]
+            self.memo[key] = out
+            return out
         kind_at = lambda n: _kind(chars[n]) if len(chars) > n else after
-        out: list[tuple[int, float, str] | None] = [(1, misfit(c, before, kind_at(1)), c)]
+        out = [(1, misfit(c, before, kind_at(1)), c)]
         for codec in UTF8_READ_AS:
             hit = decoded(chars[:4], codec)
             if hit:
@@ -203,17 +223,54 @@ class Model:
         for table in INVERSE.values():
             o = table.get(c)
             out.append(None if o is None else (1, misfit(o, before, kind_at(1)), o))
+        lead = chars[1:2] == REPLACEMENT and any(0xC2 <= t.get(c, 0) <= 0xF4 for t in BYTES.values())
+        out.append((2, 0.0, REPLACEMENT) if lead else None)  # what begins a character whose rest was lost
         if len(self.memo) > 1 << 18:
             self.memo.clear()
         self.memo[key] = out
         return out
 
+    def _plain(self, before: str, run: str, after: str) -> bool:
+        """No path through the run, switching free, scores better than the clean one."""
+        key = (before, run, after)
+        got = self.plain_runs.get(key)
+        if got is not None:
+            return got
+        n, first = len(run), "\x01" + before
+        best: list[dict[str, float]] = [{} for _ in range(n + 1)]  # score of the best path to a cut, by the character last emitted
+        best[0][first] = clean = 0.0
+        for k in range(n):
+            near = run[k:k + LONGEST] if decoded(run[k:k + 4], "cp1252") else run[k:k + 5]
+            got_k = self._emissions(near, before if k == 0 else _kind(run[k - 1]), after)
+            for last, p in best[k].items():
+                more = self.followed.get(last, self.unseen_followed) if k else 0.0
+                for e in got_k:
+                    if e is not None:
+                        q = p + e[1] + more + (0.0 if e[2] == REPLACEMENT else self.log_likely(last, e[2]))
+                        if q > best[k + e[0]].get(e[2], -1e18):
+                            best[k + e[0]][e[2]] = q
+            if got_k[0] is None:
+                clean = -1e18
+            else:
+                last = run[k - 1] if k else first
+                clean += got_k[0][1] + self.log_likely(last, run[k]) + (self.followed.get(last, self.unseen_followed) if k else 0.0)
+        got = clean >= max(best[n].values()) - 1e-9
+        if len(self.plain_runs) >= REMEMBERED:
+            self.plain_runs.clear()
+        self.plain_runs[key] = got
+        return got
+
+    def plain(self, text: str) -> bool:
+        """The best path of the text is clean throughout: no state explains one of its runs better than the clean one. Very long
+        runs are left to the search."""
+        return all(m.end() - m.start() <= 64 and self._plain(_kind(text[m.start() - 1:m.start()]), m[0], _kind(text[m.end():m.end() + 1])) for m in RUN.finditer(text))
+
     def label(self, text: str) -> list[tuple[int, int, int, str]]:
         """(start, end, state, clean text) of the emissions of the best path."""
         n = len(STATES)
         score: list[float] = [0.0, *[ENTER] * (n - 1)]
         back: list = [None] * n
-        for i, j in runs_of(text):
+        for i, j in (m.span() for m in RUN.finditer(text)):
             before, after = _kind(text[i - 1:i] if i else ""), _kind(text[j:j + 1])
             size = j - i
             # only as many cuts are kept as the longest emission reaches: a run may be as long as a text
@@ -265,37 +322,51 @@ class Model:
         return path[::-1]
 
     def repair(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
-        """The restored text and the garbled spans of the given one; a replacement character is garbled beyond repair."""
-        spans = [(i, i + 1, LOST) for i, c in enumerate(text) if c == REPLACEMENT]
+        """The restored text and the garbled spans of the given one; a lost character is garbled beyond repair."""
+        spans: list[tuple[int, int, str]] = []
         for turn in range(TURNS):
-            path = self.label(text)
-            bad = [x for x in path if x[2] and x[3] != text[x[0]:x[1]]]
-            if not bad:
+            shown, offsets = expanded(text)
+            at = offsets.__getitem__ if offsets else int
+            if self.plain(shown):
+                break
+            bad = [x for x in self.label(shown) if x[2] and (STATES[x[2]] == LOST or x[3] != shown[x[0]:x[1]])]
+            mend = [(at(a), at(b), o) for a, b, state, o in bad if STATES[state] != LOST]
+            if turn == 0:
+                for a, b, state, _ in bad:
+                    if spans and spans[-1][1] == at(a) and spans[-1][2] == STATES[state]:
+                        spans[-1] = (spans[-1][0], at(b), STATES[state])
+                    else:
+                        spans.append((at(a), at(b), STATES[state]))
+            if not mend:
                 break
             out, end = [], 0
-            for a, b, state, o in bad:
+            for a, b, o in mend:
                 out += [text[end:a], o]
                 end = b
-                if turn == 0:
-                    if spans and spans[-1][1] == a and spans[-1][2] == STATES[state]:
-                        spans[-1] = (spans[-1][0], b, STATES[state])
-                    else:
-                        spans.append((a, b, STATES[state]))
             text = "".join(out) + text[end:]
-        return text, sorted(spans)
+        return text, spans
 
 
-def tally(texts, counts: Counter) -> None:
-    """Adds to ``counts`` the characters outside ASCII, what stands before them, and both together, but for runs that read
-    as garbled UTF-8."""
+def tally(texts, counts: Counter, model: Model | None = None) -> None:
+    """Adds to ``counts`` the characters outside ASCII, what stands before them, and both together: of runs that do not read
+    as garbled UTF-8, or with a model of what it labels clean."""
     for text in texts:
-        if text and not text.isascii():
-            for i, j in runs_of(text):
-                if not decodable(text[i:j]) and REPLACEMENT not in text[i:j]:
-                    for before, c in contexts(text, i, j):
-                        counts["c" + c] += 1
-                        counts["b" + before] += 1
-                        counts[f"p{pair_bucket(before, c)}"] += 1
+        if not text or text.isascii():
+            continue
+        clean = None
+        if model is not None and not model.plain(text):
+            clean = [0] * (len(text) + 1)  # how many characters before each are not clean
+            for a, b, state, _ in model.label(text):
+                if state:
+                    clean[a + 1:b + 1] = [1] * (b - a)
+            clean = list(accumulate(clean))
+        for m in RUN.finditer(text):
+            i, j = m.span()
+            if clean[i] == clean[j] if clean else model is not None or not (decodable(m[0]) or REPLACEMENT in m[0]):
+                for before, c in contexts(text, i, j):
+                    counts["c" + c] += 1
+                    counts["b" + before] += 1
+                    counts[f"p{pair_bucket(before, c)}"] += 1
 
 
 def model_of(counts: dict[str, int]) -> Model:
@@ -303,12 +374,28 @@ def model_of(counts: dict[str, int]) -> Model:
     return Model(part("c"), part("b"), {int(x): n for x, n in part("p").items()})
 
 
-def character_counts(documents: DataFrame) -> dict[str, int]:
-    """The tally over all documents. At most two rows per character of Unicode and one per bucket come to the driver."""
+_WORKERS: dict[str, Model] = {}
+
+
+def worker_model(token: str, shared) -> Model:
+    """The model of a broadcast tally, built once in each Python worker."""
+    if token not in _WORKERS:
+        _WORKERS.clear()
+        _WORKERS[token] = model_of(shared.value)
+    return _WORKERS[token]
+
+
+def character_counts(documents: DataFrame, before: dict[str, int] | None = None) -> dict[str, int]:
+    """The tally over all documents, or with the tally ``before`` of what its model labels clean. At most two rows per
+    character of Unicode and one per bucket come to the driver."""
+    shared = documents.sparkSession.sparkContext.broadcast(before) if before else None
+    token = uuid.uuid4().hex
+
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
+        model = worker_model(token, shared) if shared else None
         for df in frames:
-            tally(df["text"], counts)
+            tally(df["text"], counts, model)
         yield pd.DataFrame(list(counts.items()), columns=["c", "n"])
 
     rows = documents.where("text is not null").select("text").mapInPandas(count, "c string, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
@@ -320,16 +407,17 @@ def repaired(documents: DataFrame) -> DataFrame:
     can be restored (the given one where clean), and the garbled spans of the given text with their pair.
 
     Null texts stay null and are not garbled; texts are read whole; rows with one id are all kept; other columns are
-    ignored. Two scans, no shuffle of texts.
+    ignored. Three scans, no shuffle of texts.
     """
-    counts = character_counts(documents)
+    shared = documents.sparkSession.sparkContext.broadcast(character_counts(documents, character_counts(documents)))
+    token = uuid.uuid4().hex
 
     def mend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = model_of(counts)
+        model = worker_model(token, shared)
         for df in frames:
             rows = []
             for doc_id, text in zip(df["doc_id"], df["text"]):
-                if not text or text.isascii():
+                if not text or (text.isascii() and "&" not in text):
                     rows.append((doc_id, False, text, []))
                 else:
                     new, spans = model.repair(text)

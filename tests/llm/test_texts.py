@@ -109,6 +109,38 @@ def test_clean_twice_partly_and_lost():
     assert m.repair("r�sum�s")[1] == [(1, 2, "lost"), (5, 6, "lost")]
 
 
+def test_character_references():
+    m = model()
+    assert m.repair("M&#195;&#170;me &amp; l&#xC3;&#xA9; caf&Atilde;&copy;.") == ("Même &amp; lé café.", [(1, 13, "utf8>cp1252"), (23, 35, "utf8>cp1252"), (39, 53, "utf8>cp1252")])
+    for text in ("caf&#233; &amp; bar &nosuch; &#0; AT&T;", "R&D; 5 &lt; 6 & 7", "d&eacute;j&agrave;"):
+        assert m.repair(text) == (text, [])
+
+
+def test_lost_characters_stay():
+    m = model()
+    assert m.repair("уровень Ñ\ufffdтоек") == ("уровень Ñ\ufffdтоек", [(8, 10, "lost")])
+    assert m.repair("a \ufffd b")[1] == [(2, 3, "lost")]
+
+
+def test_shortcut_never_hides_a_path():
+    m = model()
+    r = random.Random(8)
+    pool = CLEAN[:7] + [t.encode("utf-8").decode(c, "replace") for t in CLEAN[:7] for c in ("cp1252", "cp437", "mac_roman", "koi8_r")]
+    for _ in range(300):
+        t, u = r.choice(pool), r.choice(pool)
+        text = t[:r.randrange(60)] + u[r.randrange(40):]
+        assert not m.plain(text) or all(not x[2] for x in m.label(text))
+
+
+def test_second_tally_counts_what_is_clean():
+    first, second = Counter(), Counter()
+    texts = CLEAN + ["Für die Brücke".encode("cp1252").decode("cp437")] * 3
+    mojibake.tally(texts, first)
+    mojibake.tally(texts, second, mojibake.model_of(first))
+    garbled = "ü".encode("cp1252").decode("cp437")
+    assert first["c" + garbled] == 6 and second["c" + garbled] == 0 and second["cü"] == first["cü"]
+
+
 def test_one_run_as_long_as_a_text():
     m = model()
     text = CLEAN[5].replace(" ", "\xa0").replace(".", "·") * 2000

@@ -1,10 +1,12 @@
 """Mixing sources to target weights by soft membership.
 
-A classifier fitted on the labelled documents (their own source column) says how likely a text belongs to each domain;
-with the label it gives each document a membership in every domain. Document rates between nought and the source's cap
-are then fitted by projected gradient steps so that the expected tokens of each domain match its target. A step needs
-one number per domain from one pass over (tokens, memberships); the rates are never stored, as each is a short formula
-of the memberships and the steps so far. At last rates become whole numbers of uses.
+A classifier fitted on a sample of the labelled documents (their own source column) says how likely a text belongs to each
+domain; how far it is to be sharpened or flattened is fitted on held-out documents of the sample. With the label, trusted as
+far as all documents together bear it out, it gives each document a membership in every domain. Document rates between
+nought and the source's cap are then fitted by projected gradient steps until the expected tokens of each domain match its
+target. A step needs one number per domain from one pass over (tokens, memberships); the rates are never stored, as each is
+a short formula of the memberships and the steps so far. As what is owed is a share by written source, the descent then goes
+on with the labels alone as memberships. At last rates become whole numbers of uses.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -28,9 +31,16 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: The classifier is fitted on about so many labelled documents at most; everything else covers all documents.
 MAX_TRAINING_DOCUMENTS = 20_000
 BUCKETS = 1 << 14
-#: Trust in the written label against the text.
-LABEL_TRUST = 0.99
-STEPS = 8
+#: Part of that sample, one in so many, that is held out to fit the sharpness of the posteriors and to measure them.
+HELD_OUT = 5
+#: Part of every posterior that is the frequency of the labels, whatever the text.
+FLOOR = 0.05
+#: Sharpness and trust are the likeliest of these.
+SHARPNESS = tuple(round(2.0 ** (k / 2), 4) for k in range(-10, 7))
+TRUSTS = tuple(1 - 2.0 ** -k for k in range(1, 15))
+#: The descent goes on until the expected totals are off by no more than this part of all, by membership and then by label,
+#: for so many steps at most.
+SOFTLY, CONVERGED, STEPS = 5e-3, 1e-3, 40
 #: Part of the largest feasible size that is used, so that caps leave the fit some room.
 HEADROOM = 0.95
 #: Documents of one source that one task turns to whole numbers together.
@@ -50,104 +60,160 @@ def source_key(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(source)), r"[\s\-]+", "_")
 
 
-def features(text: str) -> np.ndarray:
-    """Hashed counts of the lower-case words, damped."""
-    out = np.zeros(BUCKETS, dtype=np.float32)
-    for w in re.findall(r"\w+", text.lower()):
-        out[zlib.crc32(w.encode()) & (BUCKETS - 1)] += 1
-    return np.log1p(out, out=out)
+@lru_cache(1 << 18)
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode()) & (BUCKETS - 1)
 
 
-def fit_classifier(labelled: DataFrame, domains: list[str], most: int = MAX_TRAINING_DOCUMENTS) -> tuple[np.ndarray, np.ndarray]:
-    """Multinomial naive Bayes over word buckets: log weights (bucket, domain) and log priors, from a bounded sample.
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed counts of the lower-case words, damped: (buckets, values) of those that occur."""
+    at, n = np.unique(np.fromiter(map(_bucket, re.findall(r"\w+", text.lower())), dtype=np.int64), return_counts=True)
+    return at, np.log1p(n).astype(np.float32)
 
-    What comes to the driver is one sum per domain and bucket, so bounded whatever the number of documents.
-    """
+
+@dataclass
+class Classifier:
+    """Naive Bayes over word buckets, its log odds scaled by ``sharpness``; ``report`` has the figures of the held-out documents:
+    their number, accuracy and mean log loss, and both for always taking the frequencies of the labels."""
+
+    domains: list[str]
+    weights: np.ndarray
+    priors: np.ndarray
+    sharpness: float = 1.0
+    report: dict[str, float] = field(default_factory=dict)
+
+    def log_odds(self, text: str) -> np.ndarray:
+        at, x = features(text)
+        return (x @ self.weights[at]) / max(1.0, float(x.sum()) / 20) if len(at) else np.zeros(len(self.domains))  # words of one text are not independent
+
+    def posterior(self, text: str) -> np.ndarray:
+        logit = self.priors + self.sharpness * self.log_odds(text)
+        p = np.exp(logit - logit.max())
+        return (1 - FLOOR) * p / p.sum() + FLOOR * np.exp(self.priors)
+
+
+def fit_classifier(labelled: DataFrame, domains: list[str], most: int = MAX_TRAINING_DOCUMENTS) -> Classifier:
+    """Fitted on about ``most`` documents (doc_id, text, domain), chosen by a hash of doc_id; one in ``HELD_OUT`` of them only sets
+    the sharpness. What comes to the driver is one sum per domain and bucket, so bounded whatever the number of documents."""
     n = labelled.count()
-    sample = labelled.where(F.rand(17) < most / n) if n > most else labelled
+    draw = lambda seed, of: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(of))
+    sample = labelled.where(draw(1, 1 << 30) < int((1 << 30) * min(1.0, most / max(n, 1)))).select("text", "domain", (draw(2, HELD_OUT) == 0).alias("held"))
     at = {d: i for i, d in enumerate(domains)}
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, docs = np.zeros((len(domains), BUCKETS)), np.zeros(len(domains))
         for df in frames:
             for text, domain in zip(df["text"], df["domain"]):
-                total[at[domain]] += features(text or "")
+                k, x = features(text or "")
+                total[at[domain], k] += x
                 docs[at[domain]] += 1
         rows, cols = np.nonzero(total)
         yield pd.DataFrame({"d": np.r_[rows, np.arange(len(domains))], "b": np.r_[cols, np.full(len(domains), -1)],
                             "n": np.r_[total[rows, cols], docs]})
 
-    got = sample.select("text", "domain").mapInPandas(sums, "d int, b int, n double").groupBy("d", "b").agg(F.sum("n").alias("n")).collect()
+    got = sample.where("not held").select("text", "domain").mapInPandas(sums, "d int, b int, n double").groupBy("d", "b").agg(F.sum("n").alias("n")).collect()
     counts, docs = np.full((len(domains), BUCKETS), 0.05), np.full(len(domains), 1.0)
     for r in got:
         if r["b"] < 0:
             docs[r["d"]] += r["n"]
         else:
             counts[r["d"], r["b"]] += r["n"]
-    return np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32), np.log(docs / docs.sum())
-
+    fitted = Classifier(domains, np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32), np.log(docs / docs.sum()))
+    fitted.weights -= fitted.weights.mean(1, keepdims=True)
+    shared = labelled.sparkSession.sparkContext.broadcast(fitted)
 
-def memberships(documents: DataFrame, domains: list[str], weights: np.ndarray, priors: np.ndarray, tokenizer: str) -> DataFrame:
-    """``(doc_id, domain, tokens, q)``: q holds the membership in each domain, from text and label."""
-    sc = documents.sparkSession.sparkContext
-    shared = sc.broadcast(weights)
-    at = {d: i for i, d in enumerate(domains)}
+    def losses(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums over held-out documents: their number, log loss and hits for each sharpness; 0 stands for the label frequencies."""
+        c, out = shared.value, np.zeros((len(SHARPNESS) + 1, 3))
+        for df in frames:
+            for text, domain in zip(df["text"], df["domain"]):
+                odds = c.log_odds(text or "")
+                for k, sharp in enumerate((0.0, *SHARPNESS)):
+                    logit = c.priors + sharp * odds
+                    own = (1 - FLOOR) * np.exp(logit[at[domain]] - np.logaddexp.reduce(logit)) + FLOOR * np.exp(c.priors[at[domain]])
+                    out[k] += 1, -np.log(own), logit.argmax() == at[domain]
+        yield pd.DataFrame({"k": np.arange(len(out)), "n": out[:, 0], "loss": out[:, 1], "hits": out[:, 2]})
+
+    held = {r["k"]: r for r in sample.where("held").select("text", "domain").mapInPandas(losses, "k int, n double, loss double, hits double").groupBy("k").agg(
+        *[F.sum(c).alias(c) for c in ("n", "loss", "hits")]).collect()}
+    if held and held[0]["n"]:
+        best = min(range(1, len(SHARPNESS) + 1), key=lambda k: held[k]["loss"])
+        fitted.sharpness = SHARPNESS[best - 1]
+        m = held[0]["n"]
+        fitted.report = {"documents": m, "accuracy": held[best]["hits"] / m, "log_loss": held[best]["loss"] / m,
+                         "frequent_accuracy": held[0]["hits"] / m, "frequent_log_loss": held[0]["loss"] / m}
+    return fitted
+
+
+def posteriors(documents: DataFrame, classifier: Classifier, tokenizer: str) -> DataFrame:
+    """``(doc_id, domain, tokens, p)``: p holds how likely the text is of each domain, whatever its label."""
+    shared = documents.sparkSession.sparkContext.broadcast(classifier)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, w = encoder(tokenizer), shared.value
-        away = np.log((1 - LABEL_TRUST) / max(1, len(domains) - 1))
+        count, c = encoder(tokenizer), shared.value
         for df in frames:
-            tokens, q = [], []
-            for text, domain in zip(df["text"], df["domain"]):
-                text = text or ""
-                x = features(text)
-                logit = priors + (x @ w) / max(1.0, float(x.sum()) / 20)  # tempered: words of one text are not independent
-                logit = logit + away
-                logit[at[domain]] += np.log(LABEL_TRUST) - away
-                p = np.exp(logit - logit.max())
-                q.append((p / p.sum()).tolist())
-                tokens.append(len(count.encode_ordinary(text)))
-            yield pd.DataFrame({"doc_id": df["doc_id"], "domain": df["domain"], "tokens": tokens, "q": q})
+            texts = [t or "" for t in df["text"]]
+            yield pd.DataFrame({"doc_id": df["doc_id"], "domain": df["domain"], "tokens": [len(count.encode_ordinary(t)) for t in texts],
+                                "p": [c.posterior(t).tolist() for t in texts]})
+
+    return documents.select("doc_id", "text", "domain").mapInPandas(score, "doc_id bigint, domain string, tokens bigint, p array<double>")
+
+
+def _label_at(domains: list[str]) -> Column:
+    return F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")).cast("int")
 
-    return documents.select("doc_id", "text", "domain").mapInPandas(score, "doc_id bigint, domain string, tokens bigint, q array<double>")
 
+def label_trust(scored: DataFrame, domains: list[str]) -> float:
+    """How likely a document's label is its domain, the others equally likely to stand instead: the likeliest over all
+    documents, in one pass. What no text contradicts is trusted up to the last of ``TRUSTS``."""
+    own = F.element_at("p", _label_at(domains))
+    rest = max(1, len(domains) - 1)
+    got = scored.agg(*[F.sum(F.log(F.greatest(own * t + (1 - own) * ((1 - t) / rest), F.lit(1e-300)))).alias(f"t{i}") for i, t in enumerate(TRUSTS)]).first()
+    return max(zip(TRUSTS, [x if x is not None else 0.0 for x in got]), key=lambda v: v[1])[0]
 
-def fitted_rates(soft: DataFrame, goals: np.ndarray, start: dict[str, float], caps: dict[str, float], domains: list[str], steps: int = STEPS) -> Column:
-    """The rate of each document, as a column over ``soft``, after projected gradient descent of the squared distance
-    between the expected tokens of the domains and the goals. Steps are scaled by each domain's own curvature.
 
-    The soft fit decides between the documents of a source; the totals by written source are then met exactly, as far
-    as the caps allow."""
-    def lookup(values: dict[str, float]) -> Column:
-        return F.coalesce(F.element_at(F.create_map(*[x for d in domains for x in (F.lit(d), F.lit(float(values.get(d, 0.0))))]), F.col("domain")), F.lit(0.0))
+def memberships(scored: DataFrame, domains: list[str], trust: float) -> DataFrame:
+    """``(doc_id, domain, tokens, q)``: q holds the membership in each domain, from text and label."""
+    away = (1 - trust) / max(1, len(domains) - 1)
+    weighed = F.transform("p", lambda x, i: x * F.when(i + 1 == _label_at(domains), trust).otherwise(away))
+    whole = F.aggregate("w", F.lit(0.0), lambda s, x: s + x)
+    return scored.withColumn("w", weighed).withColumn("whole", whole).select(
+        "doc_id", "domain", "tokens", F.transform("w", lambda x: F.when(F.col("whole") > 0, x / F.col("whole")).otherwise(0.0)).alias("q"))
+
+
+def _by_domain(values: dict[str, float]) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[x for d, v in values.items() for x in (F.lit(d), F.lit(float(v)))]), F.col("domain")), F.lit(0.0))
 
-    cap, rate = lookup(caps), lookup(start)
+
+def fitted_rates(documents: DataFrame, q: Column, start: Column, goals: np.ndarray, caps: dict[str, float], domains: list[str],
+                 within: float = CONVERGED, steps: int = STEPS) -> Column:
+    """The rate of each document, as a column over ``documents``, after projected gradient descent from ``start`` of the squared
+    distance between the expected tokens of the domains, by the memberships ``q``, and the goals. Steps are scaled by each
+    domain's own curvature and end when every total is met to ``within`` of all tokens, or where the caps leave no way nearer:
+    three steps together bring the worst one less than a twentieth nearer."""
+    cap = _by_domain(caps)
+    rate = F.least(cap, start)
     k = range(len(domains))
-    curve = soft.agg(*[F.sum(F.col("tokens") * F.col("q")[i] * F.col("q")[i]).alias(f"c{i}") for i in k]).first()
-    curve = np.array([c or 0.0 for c in curve]) if curve else np.zeros(len(domains))
     moves: list[np.ndarray] = []
 
     def current() -> Column:
         if not moves:
             return rate
         all_moves = F.array(*[F.array(*[F.lit(float(v)) for v in m]) for m in moves])
-        dot = lambda m: F.aggregate(F.zip_with(F.col("q"), m, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        dot = lambda m: F.aggregate(F.zip_with(q, m, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         return F.aggregate(all_moves, rate, lambda r, m: F.greatest(F.lit(0.0), F.least(cap, r - dot(m))))
 
+    sums = lambda df: [np.array([x or 0.0 for x in row]).reshape(2, -1) for row in [df.agg(*[F.sum(F.col("r") * F.col("tokens") * F.col("q")[i]).alias(f"e{i}") for i in k], *[
+        F.sum(F.when(F.col("cap") > 0, F.col("tokens")).otherwise(0) * F.col("q")[i] * F.col("q")[i]).alias(f"c{i}") for i in k]).first()]][0]
+    off: list[float] = []
     for _ in range(steps):
-        got = soft.select("tokens", "q", current().alias("r")).agg(*[F.sum(F.col("r") * F.col("tokens") * F.col("q")[i]).alias(f"e{i}") for i in k]).first()
-        short = np.array([e or 0.0 for e in got]) - goals
-        if np.abs(short).sum() <= 1e-6 * max(goals.sum(), 1.0):
+        total, curve = sums(documents.select("tokens", q.alias("q"), current().alias("r"), cap.alias("cap")))
+        short = total - goals
+        off.append(np.abs(short).max() / max(goals.sum(), 1.0))
+        if off[-1] <= within or (len(off) > 3 and off[-1] > 0.95 * off[-4]):
             break
         moves.append(np.where(curve > 0, short / np.maximum(curve, 1e-9), 0.0))
-    rate = current()
-    for _ in range(4):  # what is owed is a share by the written source: scale each source's rates onto its goal, within the caps
-        got = {r["domain"]: r["t"] for r in soft.select("domain", "tokens", rate.alias("r")).groupBy("domain").agg(F.sum(F.col("r") * F.col("tokens")).alias("t")).collect()}
-        scale = {d: goals[i] / got[d] for i, d in enumerate(domains) if got.get(d)}
-        if all(abs(v - 1) < 1e-4 for d, v in scale.items() if goals[domains.index(d)] > 0):
-            break
-        rate = F.least(cap, rate * lookup(scale))
-    return rate
+    return current()
 
 
 def mixed_documents(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total_tokens: float | None = None) -> DataFrame:
@@ -168,19 +234,23 @@ def mixed_documents(documents: DataFrame, targets: DataFrame, tokenizer: str = T
     key = source_key(F.col("source"))
     pool = documents.where("text is not null and doc_id is not null").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.when(key.isin(*share), key).otherwise("(other)").alias("domain"))
-    weights, priors = fit_classifier(pool, domains)
-    soft = stash.put(memberships(pool, domains, weights, priors, tokenizer))
-    have = {r["domain"]: float(r["t"] or 0) for r in soft.groupBy("domain").agg(F.sum("tokens").alias("t")).collect()}
+    scored = stash.put(posteriors(pool, fit_classifier(pool, domains), tokenizer))
+    have = {r["domain"]: float(r["t"] or 0) for r in scored.groupBy("domain").agg(F.sum("tokens").alias("t")).collect()}
     live = {s: v for s, v in share.items() if have.get(s, 0) > 0 and v > 0}
     whole = sum(live.values())
     if not live:
-        return soft.limit(0).select("doc_id", F.col("domain").alias("source"), "tokens", F.lit(0).alias("repeats"))
+        return scored.limit(0).select("doc_id", F.col("domain").alias("source"), "tokens", F.lit(0).alias("repeats"))
     size = min(have[s] * cap[s] / (v / whole) for s, v in live.items())
     size = min(HEADROOM * size, total_tokens) if total_tokens else HEADROOM * size
     goals = np.array([size * live.get(d, 0.0) / whole for d in domains])
-    start = {s: size * v / whole / have[s] for s, v in live.items()}
-    rate = fitted_rates(soft, goals, start, {s: cap[s] for s in live}, domains)
-    rated = stash.put(soft.where(F.col("domain").isin(*live)).select("doc_id", F.col("domain").alias("source"), "tokens", rate.alias("rate")))
+    caps = {s: cap[s] for s in live}
+    soft = memberships(scored.where(F.col("domain").isin(*live)), domains, label_trust(scored, domains))
+    soft = stash.put(soft)
+    soft = soft.withColumn("rate", fitted_rates(soft, F.col("q"), F.lit(float(size / sum(have[s] for s in live))), goals, caps, domains, SOFTLY))
+    settled = stash.put(soft.select("doc_id", "domain", "tokens", "rate"))
+    own = F.transform(F.array(*[F.lit(d) for d in domains]), lambda d: (d == F.col("domain")).cast("double"))
+    rate = fitted_rates(settled, own, F.col("rate"), goals, caps, domains)
+    rated = settled.select("doc_id", F.col("domain").alias("source"), "tokens", rate.alias("rate"))
     return whole_uses(rated)
 
 

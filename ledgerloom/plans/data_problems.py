@@ -70,7 +70,7 @@ def histories(spark: SparkSession, d: str) -> DataFrame:
     update that rebuilds only the chains it touches."""
     rows = statements(spark, d)
     cut = rows.agg((F.max("received_at") - F.expr(f"interval {LATE}")).alias("cut")).first()["cut"]
-    store = HistoryStore(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}", buckets=16)
+    store = HistoryStore(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}")
     late = F.coalesce(F.col("received_at") > F.lit(cut), F.lit(True)) if cut else F.lit(True)
     store.append(rows.where(~late))
     store.append(rows.where(late))

@@ -2,9 +2,10 @@ import random
 import uuid
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.history import HistoryStore, chains, fold_identifier, fold_value, snapshot_statements
+from ledgerloom.operators.history import HistoryStore, StaleManifest, chains, fold_identifier, fold_value, snapshot_statements
 from ledgerloom.session import shared_folder
 
 SCHEMA = "entity_id string, attribute string, value string, folded string, start timestamp, observed_at timestamp, tie string"
@@ -73,3 +74,46 @@ def test_folding_and_snapshots(spark):
     snaps = spark.createDataFrame([("e", T0, "x", 1), ("e", T0 + timedelta(1), "X ", 2)], "id string, at timestamp, name string, n int")
     got = rows_of(chains(snapshot_statements(snaps, "id", "at", ["name", "n"])))
     assert {(x[1], x[2]) for x in got} == {("name", 1), ("n", 1), ("n", 2)}
+
+
+def fresh_store(spark, **k):
+    return HistoryStore(spark, f"{shared_folder(spark)}/t-{uuid.uuid4().hex}", **k)
+
+
+def test_frames_read_before_an_update_and_vacuum(spark):
+    rows = made(3)
+    store = fresh_store(spark, buckets=3)
+    store.append(spark.createDataFrame(rows[:200], SCHEMA))
+    before = store.history()
+    store.append(spark.createDataFrame(rows[200:], SCHEMA))
+    store.compact()
+    assert rows_of(before) == brute(rows[:200]) and rows_of(store.history()) == brute(rows)
+    store.vacuum()
+    assert rows_of(store.history()) == brute(rows) and store.raw().count() == 400
+
+
+def test_of_two_writers_one_is_refused(spark):
+    rows = made(4)
+    store = fresh_store(spark)
+    store.append(spark.createDataFrame(rows[:200], SCHEMA))
+    stale = store._manifest()
+    store.append(spark.createDataFrame(rows[200:300], SCHEMA))
+    with pytest.raises(StaleManifest):
+        store._switch({**stale, "version": stale["version"] + 1})
+    store.append(spark.createDataFrame(rows[300:], SCHEMA))
+    assert rows_of(store.history()) == brute(rows)
+
+
+def test_an_update_writes_what_it_touches_and_deltas_are_folded(spark):
+    rows = [(f"e{i}", "x", str(i), str(i), T0 + timedelta(hours=k), T0, f"t{i}.{k}") for i in range(500) for k in range(2)]
+    store = fresh_store(spark, bucket_rows=100, max_deltas=2)
+    store.append(spark.createDataFrame(rows, SCHEMA))
+    assert store._manifest()["buckets"] == 10
+    late = [(f"e{i}", "x", "new", "new", T0 + timedelta(minutes=30), T0, f"l{i}") for i in range(5)]
+    store.append(spark.createDataFrame(late, SCHEMA))
+    delta = store._manifest()["deltas"][0]
+    assert spark.read.parquet(delta["chains"]).count() == 15 and rows_of(store.history()) == brute(rows + late)
+    for i in (7, 8):
+        late.append((f"e{i}", "x", None, None, T0, T0 + timedelta(1), "z"))
+        store.append(spark.createDataFrame(late[-1:], SCHEMA))
+    assert store._manifest()["deltas"] == [] and rows_of(store.history()) == brute(rows + late)

@@ -18,6 +18,9 @@ from ledgerloom.session import Stash
 
 SCHEMA = "id string, parent string, root string, depth int, path array<string>, on_loop boolean, descendants bigint"
 WHITE, GREY, BLACK = 0, 1, 2
+#: Path elements that a task holds at a time: paths are written out in batches, as those of a deep component together grow
+#: with the square of its depth.
+BATCH_ELEMENTS = 1 << 19
 
 
 def clean_links(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
@@ -27,8 +30,11 @@ def clean_links(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     return nodes.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(parent).alias("parent"))
 
 
-def walk(ids: list[str], parents: list[str | None]) -> list[tuple]:
-    """Iterative depth-first walk of one component with node colouring; parents outside ``ids`` count as absent."""
+def walk(ids: list[str], parents: list[str | None]) -> tuple[list[int], list[int], list[int], list[bool], list[int]]:
+    """Iterative depth-first walk of whole components with node colouring; parents outside ``ids`` count as absent.
+
+    For each node (place of its parent or -1, place of its root, depth, on a loop, descendants): the parent of a node on a
+    loop counts as absent, so that ways up end."""
     at = {x: i for i, x in enumerate(ids)}
     up = [at.get(p, -1) if p is not None else -1 for p in parents]
     children: list[list[int]] = [[] for _ in ids]
@@ -37,7 +43,6 @@ def walk(ids: list[str], parents: list[str | None]) -> list[tuple]:
             children[p].append(i)
     colour = [WHITE] * len(ids)
     root, depth, loop, below = [-1] * len(ids), [0] * len(ids), [False] * len(ids), [0] * len(ids)
-    path: list[list[str]] = [[] for _ in ids]
     for start in range(len(ids)):
         trail, i = [], start
         while i >= 0 and colour[i] == WHITE:
@@ -48,18 +53,16 @@ def walk(ids: list[str], parents: list[str | None]) -> list[tuple]:
             ring = trail[trail.index(i):]
             least = min(ring, key=lambda k: ids[k])
             for k in ring:
-                root[k], depth[k], loop[k], path[k] = least, -1, True, [ids[k]]
+                root[k], depth[k], loop[k] = least, -1, True
         for k in reversed(trail):
             colour[k] = BLACK
             if loop[k]:
                 continue
             if up[k] < 0:
-                root[k], depth[k], path[k] = k, 0, [ids[k]]
+                root[k], depth[k] = k, 0
             else:
-                p = up[k]
-                root[k] = root[p]
-                depth[k] = -1 if depth[p] < 0 else depth[p] + 1
-                path[k] = [*path[p], ids[k]]
+                root[k] = root[up[k]]
+                depth[k] = -1 if depth[up[k]] < 0 else depth[up[k]] + 1
     for top in range(len(ids)):  # descendants, children before parents
         if up[top] >= 0 and not loop[top]:
             continue
@@ -70,26 +73,40 @@ def walk(ids: list[str], parents: list[str | None]) -> list[tuple]:
             todo.extend(children[k])
         for k in reversed(order):
             below[up[k]] += below[k] + 1
-    return [(ids[i], parents[i], ids[root[i]], depth[i], path[i], loop[i], below[i]) for i in range(len(ids))]
+    return [-1 if loop[i] else p for i, p in enumerate(up)], root, depth, loop, below
 
 
-def _walk_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Components arrive whole and sorted by component within a partition; each is walked on its own."""
+def _walked_rows(ids: list[str], parents: list[str | None]) -> Iterator[pd.DataFrame]:
+    """The rows of ``SCHEMA`` of whole components, in batches of about ``BATCH_ELEMENTS`` path elements."""
     columns = [x.split()[0] for x in SCHEMA.split(", ")]
-    rest: pd.DataFrame | None = None
+    up, root, depth, loop, below = walk(ids, parents)
+    rows, held = [], 0
+    for i in range(len(ids)):
+        way, k = [], i
+        while k >= 0:
+            way.append(ids[k])
+            k = up[k]
+        rows.append((ids[i], parents[i], ids[root[i]], depth[i], way[::-1], loop[i], below[i]))
+        held += len(way)
+        if held >= BATCH_ELEMENTS:
+            yield pd.DataFrame(rows, columns=columns)
+            rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
 
-    def out(df: pd.DataFrame) -> pd.DataFrame:
-        rows = walk(df["id"].tolist(), [None if pd.isna(p) else p for p in df["parent"]])
-        return pd.DataFrame(rows, columns=columns)
 
+def _walk_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components arrive whole and sorted by component within a partition; each is walked on its own."""
+    rest: pd.DataFrame | None = None
+    out = lambda df: _walked_rows(df["id"].tolist(), [None if pd.isna(p) else p for p in df["parent"]])
     for df in frames:
         df = df if rest is None else pd.concat([rest, df], ignore_index=True)
         last = df["component"].iloc[-1] if len(df) else None
         done, rest = df[df["component"] != last], df[df["component"] == last]
         if len(done):  # several whole components form a forest, walked together
-            yield out(done)
+            yield from out(done)
     if rest is not None and len(rest):
-        yield out(rest)
+        yield from out(rest)
 
 
 def by_doubling(links: DataFrame, stash: Stash, paths: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from ledgerloom.operators import hierarchy as hierarchy_module
 from ledgerloom.operators.components import connected_components
 from ledgerloom.operators.hierarchy import by_doubling, descendant_pairs, hierarchy, walk
 from ledgerloom.session import Stash
@@ -41,7 +42,9 @@ def test_doubling_equals_walk(spark):
     parent = as_rows(forest(7))
     links = spark.createDataFrame(list(parent.items()), "id string, parent string")
     got = {r["id"]: (r["root"], r["depth"]) for r in by_doubling(links, Stash(spark)).collect()}
-    assert got == brute(parent) == {x[0]: (x[2], x[3]) for x in walk(list(parent), list(parent.values()))}
+    ids = list(parent)
+    _, root, depth, _, _ = walk(ids, list(parent.values()))
+    assert got == brute(parent) == {x: (ids[root[i]], depth[i]) for i, x in enumerate(ids)}
 
 
 def test_paths_and_descendants(spark):
@@ -90,3 +93,20 @@ def test_large_components_give_all_rows_of_the_walk(spark):
     pairs = lambda found: sorted(map(tuple, descendant_pairs(found).collect()))
     assert pairs(cut) == pairs(whole)
     assert rows(hierarchy(df, "id", "p", max_component=3, paths=False)) == {k: {c: v for c, v in x.items() if c not in ("path", "descendants")} for k, x in want.items()}
+
+
+def test_long_chains_are_written_in_batches():
+    import tracemalloc
+
+    n = 3000
+    ids = [f"{i:05d}" for i in range(n)]
+    tracemalloc.start()
+    seen = held = 0
+    for df in hierarchy_module._walked_rows(ids, [None, *ids[:-1]]):
+        sizes = df["path"].str.len()
+        assert sizes.tolist() == list(range(seen + 1, seen + len(df) + 1)) and df["path"].iloc[-1] == ids[:seen + len(df)]
+        assert sizes.sum() < hierarchy_module.BATCH_ELEMENTS + n
+        seen, held = seen + len(df), held + int(sizes.sum())
+    assert seen == n and held == n * (n + 1) // 2
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20  # all paths at once take 36 MB of references a million elements
+    tracemalloc.stop()

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.operators.components import connected_components
 from ledgerloom.operators.hierarchy import hierarchy
@@ -152,35 +158,85 @@ def surviving_facts(facts: DataFrame, members: DataFrame) -> DataFrame:
 
 
 GOLDEN_FIELDS = ("canonical_name", "legal_name", "organisation_type", "country_of_registration", "parent_organisation_id")
+#: Sets of no more records are layered in one task; larger ones by windows, a round a layer.
+SMALL_SET = 512
+
+
+def layers_of(points: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """Dominance layer, from 1, of each record of a set: ``points`` has its ranks (more is better), ``filled`` its usable fields.
+    Peeled until every field that some record has is had; 0 for records of later layers."""
+    layer, rest, n = np.zeros(len(points), dtype=int), np.arange(len(points)), 0
+    while len(rest):
+        n += 1
+        p = points[rest]
+        better = (p[:, None, :] >= p[None, :, :]).all(2) & (p[:, None, :] > p[None, :, :]).any(2)
+        top = ~better.any(0)
+        layer[rest[top]] = n
+        rest = rest[~top]
+        if not (filled[rest].any(0) & ~filled[layer > 0].any(0)).any():
+            break
+    return layer
+
+
+def _layered(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """``rows`` of small sets with ``layer``, without the records of layers that are not needed. Sets are co-located whole."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("layer", T.IntegerType())])
+
+    def layered(df: pd.DataFrame) -> pd.DataFrame:
+        points = df[["complete", "seen", "trust"]].to_numpy(dtype=float)
+        points[np.isnan(points)] = -np.inf
+        filled, roots = df[list(fields)].notna().to_numpy(), df["root_org_id"].to_numpy()
+        cuts = np.nonzero(roots[1:] != roots[:-1])[0] + 1
+        layer = np.concatenate([layers_of(p, f) for p, f in zip(np.split(points, cuts), np.split(filled, cuts))])
+        return df.assign(layer=layer.astype("int32"))[layer > 0]
+
+    def frames(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for df in parts:
+            df = df if rest is None else pd.concat([rest, df], ignore_index=True)
+            last = df["root_org_id"].iloc[-1] if len(df) else None
+            done, rest = df[df["root_org_id"] != last], df[df["root_org_id"] == last]
+            if len(done):
+                yield layered(done)
+        if rest is not None and len(rest):
+            yield layered(rest)
+
+    return rows.repartition("root_org_id").sortWithinPartitions("root_org_id").mapInPandas(frames, schema)
 
 
-def golden_records(organisations: DataFrame, members: DataFrame, fields: tuple[str, ...] = GOLDEN_FIELDS) -> DataFrame:
+def golden_records(organisations: DataFrame, members: DataFrame, fields: tuple[str, ...] = GOLDEN_FIELDS, small: int = SMALL_SET) -> DataFrame:
     """One record per set, ``(root_org_id, survivor_id, layers, *fields)``, built field by field.
 
     Records are compared by completeness (number of usable fields), recency and trust. The undominated ones are layer 1,
     those undominated without them layer 2, and so on. Each field has the value of the first record with a usable one in
     order of layer, completeness, recency, trust, then org_id; the survivor is the first record. Layers are peeled only
-    for sets that still lack a field some remaining record has. Nulls are least; repeated rows count once.
+    for sets that still lack a field some remaining record has. Nulls are least; of rows with one id the least, as a struct of
+    these columns, counts. Sets of more than ``small`` records never meet in one task: their layers are peeled by windows.
     """
     stash = Stash(organisations.sparkSession)
-    value = {f: F.when(usable(F.col(f)), F.col(f)) for f in fields}
-    rows = organisations.where("org_id is not null").dropDuplicates(["org_id"]).join(members, "org_id").select(
-        "root_org_id", "org_id", *[v.alias(f) for f, v in value.items()],
-        F.unix_micros("last_observed_at").cast("double").alias("seen"), F.col("entity_confidence").alias("trust"))
+    columns = [*fields, "last_observed_at", "entity_confidence"]
+    one = organisations.where("org_id is not null").groupBy("org_id").agg(F.min(F.struct(*columns)).alias("o")).select("org_id", "o.*")
     full = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
-    rest, layer, done = stash.put(rows.withColumn("complete", full)), 0, None
-    while rest is not None:
+    rows = one.join(members, "org_id").select(
+        "root_org_id", "org_id", *[F.when(usable(F.col(f)), F.col(f)).alias(f) for f in fields],
+        F.unix_micros("last_observed_at").cast("double").alias("seen"), F.col("entity_confidence").alias("trust")).withColumn("complete", full)
+    rows = stash.put(rows)
+    large = rows.groupBy("root_org_id").count().where(F.col("count") > small).select("root_org_id")
+    peeled = [_layered(rows.join(large, "root_org_id", "left_anti"), fields)]
+    rest, layer = rows.join(large, "root_org_id", "left_semi"), 0
+    had: DataFrame | None = None
+    while rest.limit(1).count():
         layer += 1
         marked = stash.put(mark_dominated(rest, ["root_org_id"], "seen", "trust", "complete", len(fields) + 1))
         first = marked.where("not dominated").drop("dominated").withColumn("layer", F.lit(layer))
-        done = stash.put(first if done is None else done.unionByName(first))
         later = marked.where("dominated").drop("dominated")
-        have = done.groupBy("root_org_id").agg(*[F.max(F.col(f).isNotNull()).alias(f"h_{f}") for f in fields])
+        peeled.append(first)
+        has = first.groupBy("root_org_id").agg(*[F.max(F.col(f).isNotNull()).alias(f"h_{f}") for f in fields])
+        had = stash.put(has if had is None else had.unionByName(has).groupBy("root_org_id").agg(*[F.max(f"h_{f}").alias(f"h_{f}") for f in fields]))  # one row per set
         could = later.groupBy("root_org_id").agg(*[F.max(F.col(f).isNotNull()).alias(f"c_{f}") for f in fields])
-        lacking = could.join(have, "root_org_id").where(" or ".join(f"(c_{f} and not h_{f})" for f in fields)).select("root_org_id")
+        lacking = could.join(had, "root_org_id").where(" or ".join(f"(c_{f} and not h_{f})" for f in fields)).select("root_org_id")
         rest = stash.put(later.join(lacking, "root_org_id", "left_semi"))
-        rest = rest if rest.limit(1).count() else None
     low = F.lit(float("-inf"))
     order = F.struct("layer", (-F.col("complete")).alias("c"), (-F.coalesce("seen", low)).alias("s"), (-F.coalesce("trust", low)).alias("t"), "org_id")
     firsts = [F.min(F.when(F.col(f).isNotNull(), F.struct(order.alias("o"), F.col(f).alias("v")))).getField("v").alias(f) for f in fields]
-    return done.groupBy("root_org_id").agg(F.min_by("org_id", order).alias("survivor_id"), F.max("layer").alias("layers"), *firsts)
+    return reduce(DataFrame.unionByName, peeled).groupBy("root_org_id").agg(F.min_by("org_id", order).alias("survivor_id"), F.max("layer").alias("layers"), *firsts)

@@ -234,3 +234,15 @@ def test_surviving_facts_and_records(spark):
     rec = groups.golden_records(org, members).collect()
     assert len(rec) == 1 and (rec[0]["survivor_id"], rec[0]["canonical_name"], rec[0]["legal_name"], rec[0]["organisation_type"]) == ("c", "Acme Co", "Old", "company") and rec[0]["country_of_registration"] == "NZ"
     assert groups.surviving_facts(df.limit(0), members).count() == 0 and groups.golden_records(org, members.limit(0)).count() == 0
+
+
+def test_layers_in_one_task_equal_those_by_windows(spark):
+    r = random.Random(12)
+    fields = groups.GOLDEN_FIELDS
+    org = [(f"o{i:03d}", *[r.choice([None, None, None, f"v{i}"]) for _ in fields], r.choice([None, T(1), T(2), T(3)]), r.choice([None, 0.2, 0.8]), f"s{r.randrange(9)}") for i in range(160)]
+    org += [(f"c{i:03d}", *(["name", "legal", None, None, None] if i < 30 else [None] * 4 + ["last"]), T(max(1, 28 - i)), 0.9 - i / 100, "chain") for i in range(31)]
+    schema = "org_id string, " + ", ".join(f"{f} string" for f in fields) + ", last_observed_at timestamp, entity_confidence double"
+    df = spark.createDataFrame([x[:-1] for x in org] + [("o000", *[None] * 5, None, None)], schema)
+    members = spark.createDataFrame([(x[0], x[-1]) for x in org], "org_id string, root_org_id string")
+    whole, cut = ({x["root_org_id"]: x.asDict() for x in groups.golden_records(df, members, small=n).collect()} for n in (512, 3))
+    assert whole == cut and len(whole) == 10 and whole["chain"]["parent_organisation_id"] == "last" and whole["chain"]["layers"] == 31

@@ -19,7 +19,16 @@ REGIONS: dict[str, tuple[str, ...]] = {
     "LATAM": ("MX", "BR", "AR", "CL", "CO", "PE", "EC", "UY", "PY", "BO", "VE", "CR", "PA", "GT", "HN", "SV", "NI", "DO", "CU"),
     "APAC": ("AU", "NZ", "JP", "KR", "CN", "TW", "HK", "SG", "MY", "TH", "VN", "PH", "ID", "IN", "PG", "FJ", "BD", "LK", "MM",
              "KH", "LA", "BN", "NP", "PK", "MO", "TL"),
+    "EUROPE": ("GB", "IE", "FR", "DE", "NL", "BE", "ES", "PT", "IT", "CH", "AT", "DK", "SE", "NO", "FI", "PL", "CZ", "GR", "RO",
+               "HU", "SK", "SI", "HR", "BG", "EE", "LV", "LT", "LU", "IS", "MT", "CY"),
+    "MIDDLE_EAST": ("AE", "SA", "QA", "KW", "BH", "OM", "IL", "JO", "LB", "IQ", "IR", "TR", "YE"),
+    "AFRICA": ("ZA", "NG", "KE", "EG", "MA", "TN", "DZ", "GH", "ET", "TZ", "UG", "ZM", "ZW", "BW", "NA", "MZ", "SN", "CI", "CM", "RW"),
 }
+# Written names of regions of a country, and the codes of the regions of Australia and New Zealand.
+REGION_NAMES = {
+    ("AU", "AUSTRALIAN CAPITAL TERRITORY"): "ACT", ("AU", "NEW SOUTH WALES"): "NSW", ("AU", "NORTHERN TERRITORY"): "NT", ("AU", "QUEENSLAND"): "QLD",
+    ("AU", "SOUTH AUSTRALIA"): "SA", ("AU", "TASMANIA"): "TAS", ("AU", "VICTORIA"): "VIC", ("AU", "WESTERN AUSTRALIA"): "WA"}
+KNOWN_REGIONS = {"AU": ("ACT", "NSW", "NT", "QLD", "SA", "TAS", "VIC", "WA"), "NZ": ("AUK", "BOP", "CAN", "GIS", "HKB", "MBH", "MWT", "NSN", "NTL", "OTA", "STL", "TAS", "TKI", "WGN", "WKO", "WTC")}
 COUNTRY = r"^[A-Z]{2}$"
 HIERARCHICAL = r"^[A-Z]{2}(-[A-Z0-9][A-Z0-9_]{0,49})+$"
 REGION_CODE = r"^[A-Z][A-Z0-9_]{2,49}$"
@@ -122,3 +131,24 @@ def ancestor_codes(code: Column) -> Column:
     """The code and all its ancestors, so that related places meet in an equi-join."""
     parts = F.split(code, "-")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "-"))
+
+
+def row_code(country: Column, region: Column, regions: dict[str, Iterable[str]] = REGIONS, known: dict[str, Iterable[str]] = KNOWN_REGIONS) -> Column:
+    """The most specific code of a row, null if it has none: a region that is not known is never broadened to its country."""
+    c, r = F.upper(F.trim(F.coalesce(country, F.lit("")))), F.upper(F.trim(F.coalesce(region, F.lit(""))))
+    short = r
+    for (land, name), code in REGION_NAMES.items():
+        short = F.when((c == land) & (r == name), code).otherwise(short)
+    full = normal_code(F.concat_ws("-", c, short))
+    listed = F.lit(True)
+    for land, codes in known.items():
+        listed = F.when(c == land, short.isin(*codes)).otherwise(listed)
+    return F.when((c != "") & (r != ""), F.when(valid_code(full, regions) & listed, full)).when((c != "") & valid_code(c, regions), c)
+
+
+def described(code: Column, names: dict[str, str]) -> Column:
+    """The name of a code where one is known, else the code."""
+    out = code
+    for c, name in names.items():
+        out = F.when(code == c, name).otherwise(out)
+    return out

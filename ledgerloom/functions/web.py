@@ -18,11 +18,20 @@ from pyspark.sql import types as T
 DROPPED_TAGS = {"script", "style", "noscript", "template", "svg", "nav", "footer", "header", "aside", "form", "iframe", "button", "select"}
 BLOCK_TAGS = {"p", "div", "section", "article", "li", "ul", "ol", "tr", "table", "br", "h1", "h2", "h3", "h4", "h5", "h6", "main", "title"}
 DOCUMENT_ENDINGS = (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".csv", ".zip", ".rtf", ".odt")
-PLATFORM_HOSTS = {
-    "facebook.com": "facebook", "fb.com": "facebook", "linkedin.com": "linkedin", "instagram.com": "instagram",
-    "youtube.com": "youtube", "x.com": "x", "twitter.com": "x", "tiktok.com": "tiktok", "pinterest.com": "pinterest",
-    "threads.net": "threads", "threads.com": "threads", "github.com": "github"}
-RESERVED_HANDLES = {"share", "sharer", "login", "signup", "home", "search", "watch", "explore", "help", "about", "intent", "p", "reel", "groups", "events", "hashtag"}
+PLATFORMS = {
+    "facebook": "facebook.com", "instagram": "instagram.com", "linkedin": "linkedin.com", "youtube": "youtube.com", "tiktok": "tiktok.com",
+    "x": "x.com", "threads": "threads.net", "pinterest": "pinterest.com", "reddit": "reddit.com"}
+OTHER_HOSTS = {"fb.com": "facebook.com", "twitter.com": "x.com"}
+RESERVED_HANDLES = {
+    "about", "accounts", "ads", "business", "developers", "directory", "events", "explore", "groups", "hashtag", "help", "home", "intent", "login",
+    "marketplace", "messages", "notifications", "p", "pages", "privacy", "reel", "search", "share", "sharer", "signup", "status", "terms", "watch"}
+#: Paths of an organisation's profile by platform, the first that fits counting, and what they are written as.
+PROFILE_PATHS = {
+    "linkedin": [(r"/(?P<kind>company|school|showcase)/(?P<name>[^/]+)", "/{kind}/{name}")], "reddit": [(r"/(?P<kind>r)/(?P<name>[^/]+)", "/{kind}/{name}")],
+    "youtube": [(r"/@(?P<name>[^/]+)", "/@{name}"), (r"/(?P<kind>channel|c|user)/(?P<raw>[^/]+)", "/{kind}/{raw}")],
+    "tiktok": [(r"/@(?P<name>[^/]+)", "/@{name}")], "threads": [(r"/@(?P<name>[^/]+)", "/@{name}")], "": [(r"/@?(?P<name>[^/]+)", "/{name}")]}
+#: How the path of a bare handle is made.
+HANDLE_PATHS = {"linkedin": "/company/{}", "reddit": "/r/{}", "youtube": "/@{}", "tiktok": "/@{}", "threads": "/@{}"}
 DATE_NAMES = {"article:published_time", "datepublished", "dc.date", "dc.date.issued", "pubdate", "date", "parsely-pub-date"}
 
 
@@ -45,27 +54,37 @@ def canonical_url_of(value: str | None) -> str | None:
     return urlunsplit((scheme, net, parts.path.rstrip("/"), query, ""))
 
 
-def social_profile_of(value: str | None) -> tuple[str, str] | None:
-    """(platform, profile URL) of an address of an organisation's profile, else None."""
-    url = canonical_url_of(value if isinstance(value, str) and "//" in value else f"https://{value}" if value else None)
-    if not url:
+def social_profile_of(value: str | None, expected: str | None = None) -> tuple[str, str] | None:
+    """(platform, profile URL) of an address of an organisation's profile, else None; where a platform is expected, a bare handle
+    will do, and addresses of other platforms are none."""
+    if not isinstance(value, str) or not value.strip():
         return None
-    parts = urlsplit(url)
-    host = re.sub(r"^(www|m|mobile|[a-z]{2})\.", "", parts.netloc)
-    platform = PLATFORM_HOSTS.get(host)
-    path = [p for p in parts.path.split("/") if p]
-    if not platform or not path:
+    raw, platform = value.strip(), (expected or "").strip().lower()
+    if platform and platform not in PLATFORMS:
         return None
-    handle = path[0].lower()
-    if platform == "linkedin":
-        if handle not in ("company", "school", "showcase") or len(path) < 2:
-            return None
-        return platform, f"https://www.linkedin.com/{handle}/{path[1].lower()}"
-    if platform == "youtube" and handle in ("channel", "c", "user"):
-        return (platform, f"https://www.youtube.com/{handle}/{path[1]}") if len(path) > 1 else None
-    if handle.lstrip("@") in RESERVED_HANDLES or not re.fullmatch(r"@?[a-z0-9._\-]+", handle):
+    if "://" not in raw:
+        host = raw.split("/")[0].lower()
+        known = re.sub(r"^(www|m)\.", "", host) in {*PLATFORMS.values(), *OTHER_HOSTS}
+        bare = re.sub(r"^(@|r/(?=.))", "", raw.strip("/"))
+        raw = f"https://{raw}" if known or not platform else f"https://{PLATFORMS[platform]}{HANDLE_PATHS.get(platform, '/{}').format(bare)}"
+    try:
+        parts = urlsplit(raw)
+        host = re.sub(r"^(www|m)\.", "", (parts.hostname or "").lower())
+    except ValueError:
+        return None
+    host = OTHER_HOSTS.get(host, host)
+    found = next((p for p, h in PLATFORMS.items() if h == host), None)
+    if parts.scheme.lower() not in ("http", "https") or parts.username or parts.password or not found or (platform and platform != found):
         return None
-    return platform, f"https://www.{'x.com' if platform == 'x' else host}/{handle}"
+    if found == "facebook" and re.match(r"/profile\.php/?$", parts.path):
+        number = dict(parse_qsl(parts.query)).get("id", "").strip()
+        return (found, f"https://{host}/profile.php?{urlencode({'id': number})}") if number else None
+    for pattern, shape in PROFILE_PATHS.get(found, PROFILE_PATHS[""]):
+        m = re.match(pattern, re.sub("/+", "/", parts.path), re.I)
+        if m:
+            bits = {k: v if k == "raw" else v.lower() for k, v in m.groupdict().items()}
+            return None if found not in ("linkedin", "reddit") and bits.get("name") in RESERVED_HANDLES else (found, f"https://{host}{shape.format(**bits)}")
+    return None
 
 
 class _Page(HTMLParser):

@@ -140,8 +140,8 @@ HTML = """<html><head><title>T</title><base href="https://a.example/x/"><meta pr
 def test_web(spark):
     assert web.canonical_url_of("HTTPS://Bücher.example:443/a/?b=2&a=1#x") == "https://xn--bcher-kva.example/a?a=1&b=2"
     assert web.canonical_url_of("https://u:p@x.example") is None and web.canonical_url_of("ftp://x") is None and web.canonical_url_of(None) is None
-    assert web.social_profile_of("www.facebook.com/Acme/") == ("facebook", "https://www.facebook.com/acme") and web.social_profile_of("https://linkedin.com/in/joe") is None
-    assert web.social_profile_of("https://facebook.com/sharer/x") is None and web.social_profile_of("https://au.linkedin.com/company/Acme/about")[1] == "https://www.linkedin.com/company/acme"
+    assert web.social_profile_of("www.facebook.com/Acme/") == ("facebook", "https://facebook.com/acme") and web.social_profile_of("https://linkedin.com/in/joe") is None
+    assert web.social_profile_of("https://facebook.com/sharer/x") is None and web.social_profile_of("https://m.linkedin.com/company/Acme/about")[1] == "https://linkedin.com/company/acme"
     assert web.page_text_of(HTML) == "# T\nTeam\nCall us\nAFJagain" or "menu" not in web.page_text_of(HTML)
     assert [(k, u, h) for _, k, u, h in web.references_of("https://b.example", HTML)] == [
         ("navigation", "https://a.example/x/p?a=1&z=2", "Team"), ("document", "https://a.example/f.PDF", "Team"), ("image", "https://a.example/x/l.png", "Team")]

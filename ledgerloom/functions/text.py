@@ -15,19 +15,25 @@ ROLE_WORDS = ("info", "sales", "admin", "office", "enquiries", "contact", "accou
 HOST_ENDINGS = ("com.au", "net.au", "au", "com")
 
 
-def _accent_table() -> tuple[str, str]:
-    """Accented Latin letters and the plain letters they decompose to, by Unicode's own rule."""
-    pairs = [(chr(i), unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode()) for i in range(0xA0, 0x250)]
-    single = [(a, b) for a, b in pairs if len(b) == 1]
-    return "".join(a for a, _ in single), "".join(b for _, b in single)
+def _accent_tables() -> tuple[str, str, list[tuple[str, str]]]:
+    """Letters and signs outside ASCII and what Unicode's own rule takes them apart to: those that become one ASCII character as a
+    pair of strings, those of the Latin blocks, ligatures and letterlike signs that become several as a list."""
+    plain = {chr(i): unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode() for r in (range(0xA0, 0xD800), range(0xF900, 0x10000)) for i in r}
+    single = [(a, b) for a, b in plain.items() if len(b) == 1]
+    several = [(a, b) for a, b in plain.items() if len(b) > 1 and (a < "\u0250" or "\u2000" <= a < "\u2150" or "\ufb00" <= a < "\ufb07")]
+    return "".join(a for a, _ in single), "".join(b for _, b in single), several
 
 
-ACCENTED, PLAIN = _accent_table()
+ACCENTED, PLAIN, SEVERAL = _accent_tables()
 
 
 def unaccent(text: Column) -> Column:
-    """Accents of Latin letters dropped; other characters outside ASCII removed."""
-    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    """Accents dropped, wide, raised and joined letters written plainly; other characters outside ASCII removed."""
+    taken_apart = text
+    for a, b in SEVERAL:
+        taken_apart = F.replace(taken_apart, F.lit(a), F.lit(b))
+    rare = "[" + "".join(a for a, _ in SEVERAL) + "]"
+    return F.regexp_replace(F.translate(F.when(text.rlike(rare), taken_apart).otherwise(text), ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
 
 
 def name_key(name: Column) -> Column:

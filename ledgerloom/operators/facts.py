@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import confidence as conf
@@ -11,7 +11,7 @@ from ledgerloom.operators.components import connected_components
 from ledgerloom.operators.hierarchy import hierarchy
 
 # Evidence with many true values at once, and relations that make one source depend on another.
-MANY_VALUED = ("service_claim", "archetype_claim", "system_claim", "project_participation")
+MANY_VALUED = ("service_claim", "archetype_claim", "social_profile", "source_record")
 DEPENDENT = ("copied_from", "owned_by", "syndicated_from", "mirror_of", "aggregates", "same_publisher")
 CONFLICT_SHARE = 1 / 3
 
@@ -34,9 +34,9 @@ def reconcile(observations: DataFrame, sources: DataFrame, canonical: DataFrame,
 
     Rejected observations and predicates of many values are left out. The values of a predicate are compared by authority
     times corroboration, then extraction confidence, number of sources, newest observation, and the least value key.
-    Exact repeats of an observation count once. Three aggregations that combine map-side (per source, per value, per
-    predicate), so an entity with any share of the observations is no bottleneck; ranks are taken by ``max_by``, not by
-    windows over all observations.
+    Exact repeats of an observation count once. Aggregations that combine map-side (per source, per value, per predicate), so
+    an entity with any share of the observations is no bottleneck; the winner is taken by an aggregation, not by a window, and
+    what speaks against it is counted, not collected.
     """
     obs = observations.where("normalisation_status <> 'rejected'").where(~F.col("predicate").isin(*MANY_VALUED)).select(
         "observation_id", "org_id", "predicate", "object_value", "observed_at", "source_id", "document_id",
@@ -64,14 +64,14 @@ def reconcile(observations: DataFrame, sources: DataFrame, canonical: DataFrame,
         F.max_by("value", "at").alias("value"), F.min_by("document", "document_rank").alias("document"))
     ranked = per_value.withColumn("rank", F.struct(
         F.round(F.col("auth") * conf.corroboration(F.size("origins")), 6).alias("weight"), "extraction", "sources", "newest"))
-    w = Window.partitionBy(*key).orderBy(F.desc("rank"), "vkey")
-    placed = ranked.withColumn("place", F.row_number().over(w))
-    merged = placed.groupBy(*key).agg(
-        F.max(F.when(F.col("place") == 1, F.struct("value", "auth", "extraction", "newest", "human", "origins", "document", "n"))).alias("win"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("place") > 1, F.col("origins"))))).alias("against"),
-        F.sum(F.when(F.col("place") > 1, F.col("n")).otherwise(0)).alias("n_against"))
-    out = merged.select(*key, "win.*", "against", "n_against").withColumns({
-        "supporting": F.size("origins"), "contradicting": F.size("against"),
+    # the winner by one aggregation, map-side; what speaks against it by one more that leaves the winning value out
+    order = F.struct((-F.col("rank.weight")).alias("a"), (-F.col("rank.extraction")).alias("b"), (-F.col("rank.sources")).alias("c"), (-F.unix_micros("rank.newest")).alias("d"), "vkey")
+    best = ranked.groupBy(*key).agg(F.min_by(F.struct("vkey", "value", "auth", "extraction", "newest", "human", "origins", "document", "n"), order).alias("win"))
+    lost = per_source.join(best.select(*key, F.col("win.vkey").alias("won")), key).where(~F.col("vkey").eqNullSafe(F.col("won"))).groupBy(*key).agg(
+        F.countDistinct("origin").alias("contradicting"), F.sum("n").alias("n_against"))
+    merged = best.join(lost, key, "left")
+    out = merged.select(*key, "win.*", F.coalesce("contradicting", F.lit(0)).alias("contradicting"), F.coalesce("n_against", F.lit(0)).alias("n_against")).withColumns({
+        "supporting": F.size("origins"),
         "match_score": F.when(F.col("human"), 0.95).otherwise(0.85)})
     out = out.withColumns({
         "freshness_score": conf.freshness(F.col("predicate"), F.col("newest"), as_of),

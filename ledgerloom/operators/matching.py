@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions import text
+from ledgerloom.functions import text, web
 from ledgerloom.session import Stash
 
 # Signal weights, thresholds, the size beyond which a block is not paired out.
 WEIGHTS = {"identifier": 1.0, "domain": 0.9, "name_exact": 0.85, "name_fuzzy": 0.6, "phone": 0.15, "email_domain": 0.55,
-           "address": 0.65, "locality": 0.05}
+           "address": 0.65, "social": 0.75, "locality": 0.05}
 CONFLICT_PENALTY = 0.3
 EXACT, HIGH, REVIEW = 0.98, 0.85, 0.45
 RATIO_FLOOR, JACCARD_FLOOR = 0.75, 0.5
 BLOCK_LIMIT = 50
 
-SETS = ("names", "identifiers", "domains", "phones", "email_domains", "addresses", "localities")
+SETS = ("names", "identifiers", "domains", "phones", "email_domains", "addresses", "localities", "socials")
 
 
 def features(organisations: DataFrame, identifiers: DataFrame, locations: DataFrame, observations: DataFrame) -> DataFrame:
@@ -41,13 +42,15 @@ def features(organisations: DataFrame, identifiers: DataFrame, locations: DataFr
         pick("website_domain", text.bare_host(F.col("object_value"))).alias("domains"),
         pick("phone", text.phone_tail(F.col("object_value"))).alias("phones"),
         pick("email", text.email_business_domain(F.col("object_value"))).alias("email_domains"))
+    profiles = observations.where("normalisation_status <> 'rejected' and predicate = 'social_profile'").select("org_id", web.social_profile(F.col("object_value"))["url"].alias("url"))
+    socials = profiles.groupBy("org_id").agg(F.array_sort(F.collect_set("url")).alias("socials"))
     place = locations.where("location_id is not null").groupBy("org_id").agg(
         F.min(F.struct("location_id", "address_lines", "locality", "region", "postal_code", "country")).alias("l")).select("org_id", "l.*")
     parts = F.concat("address_lines", F.array("postal_code", "locality", "region", "country"))
     where = place.select(
         "org_id", F.array_compact(F.array(F.when(F.size("address_lines") > 0, text.address_key(F.array_compact(parts))))).alias("addresses"),
         F.array_compact(F.array(F.when(F.length(F.trim("locality")) > 0, F.concat_ws("|", F.lower(F.trim("locality")), F.trim("postal_code"))))).alias("localities"))
-    out = named.join(ids, "org_id", "left").join(contacts, "org_id", "left").join(where, "org_id", "left")
+    out = named.join(ids, "org_id", "left").join(contacts, "org_id", "left").join(where, "org_id", "left").join(socials, "org_id", "left")
     return out.select("org_id", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in SETS])
 
 
@@ -57,7 +60,7 @@ def blocks(feats: DataFrame) -> DataFrame:
         return F.transform(F.col(column), lambda k: F.concat(F.lit(prefix), k))
 
     strong = F.concat(*[prefixed(c, p) for c, p in (
-        ("identifiers", "id:"), ("domains", "dom:"), ("phones", "phone:"), ("email_domains", "email:"), ("addresses", "address:"), ("names", "name:"))])
+        ("identifiers", "id:"), ("domains", "dom:"), ("phones", "phone:"), ("email_domains", "email:"), ("addresses", "address:"), ("socials", "social:"), ("names", "name:"))])
     weak = F.array_distinct(F.flatten(F.transform("names", text.blocking_tokens)))
     return feats.select("org_id", F.explode(F.concat(
         F.transform(strong, lambda k: F.struct(k.alias("key"), F.lit(False).alias("weak"))),
@@ -78,23 +81,23 @@ def candidate_pairs(feats: DataFrame, limit: int = BLOCK_LIMIT) -> DataFrame:
     return pairs.unionByName(star).distinct()
 
 
+@lru_cache(1 << 16)
+def similar_names(x: str, y: str) -> float:
+    """The greater of sequence ratio and token overlap, each above its floor; the ratio is only worked out where lengths and
+    letters leave it a chance."""
+    s, t = set(x.split()), set(y.split())
+    overlap = len(s & t) / max(len(s | t), 1)
+    least, ratio = max(RATIO_FLOOR, overlap), 0.0
+    if 2 * min(len(x), len(y)) >= least * (len(x) + len(y)):
+        match = SequenceMatcher(None, x, y)
+        ratio = match.ratio() if match.quick_ratio() >= least else 0.0
+    return max(ratio if ratio >= RATIO_FLOOR else 0.0, overlap if overlap >= JACCARD_FLOOR else 0.0)
+
+
 @F.pandas_udf(T.DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Best over all names: 1 if equal, else the greater of sequence ratio and token overlap, each above its floor."""
-    def one(xs, ys) -> float:
-        best = 0.0
-        for x in xs:
-            for y in ys:
-                if x == y:
-                    return 1.0
-                s, t = set(x.split()), set(y.split())
-                overlap = len(s & t) / len(s | t)
-                match = SequenceMatcher(None, x, y)
-                ratio = match.ratio() if match.quick_ratio() >= RATIO_FLOOR else 0.0
-                best = max(best, ratio if ratio >= RATIO_FLOOR else 0.0, overlap if overlap >= JACCARD_FLOOR else 0.0)
-        return best
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
+    """Best over all names of two different sets; nothing to do where one is null."""
+    return pd.Series([max((similar_names(x, y) for x in xs for y in ys), default=0.0) if xs is not None and ys is not None else 0.0 for xs, ys in zip(a, b)], dtype=float)
 
 
 def noisy_or(weights: Column) -> Column:
@@ -110,12 +113,14 @@ def scored_pairs(feats: DataFrame, pairs: DataFrame, least: float = REVIEW) -> D
     common = F.array_intersect(scheme(F.col("a_identifiers")), scheme(F.col("b_identifiers")))
     of = lambda ids, s: F.filter(ids, lambda i: i.startswith(F.concat(s, F.lit(":"))))
     clash = F.size(F.filter(common, lambda s: ~F.arrays_overlap(of(F.col("a_identifiers"), s), of(F.col("b_identifiers"), s))))
-    rated = both.withColumn("similarity", name_similarity("a_names", "b_names")).withColumn("conflict_count", clash)
+    same = F.arrays_overlap("a_names", "b_names")
+    unlike = lambda c: F.when(~same, F.col(c))
+    rated = both.withColumn("similarity", F.when(same, 1.0).otherwise(name_similarity(unlike("a_names"), unlike("b_names")))).withColumn("conflict_count", clash)
     signals = [("shared_identifier", shared("identifiers"), F.lit(WEIGHTS["identifier"])), ("shared_domain", shared("domains"), F.lit(WEIGHTS["domain"])),
                ("name_exact", F.col("similarity") >= 1, F.lit(WEIGHTS["name_exact"])),
                ("name_fuzzy", (F.col("similarity") > 0) & (F.col("similarity") < 1), F.round(WEIGHTS["name_fuzzy"] * F.col("similarity"), 3)),
                ("shared_phone", shared("phones"), F.lit(WEIGHTS["phone"])), ("shared_email_domain", shared("email_domains"), F.lit(WEIGHTS["email_domain"])),
-               ("shared_address", shared("addresses"), F.lit(WEIGHTS["address"])), ("shared_locality", shared("localities"), F.lit(WEIGHTS["locality"]))]
+               ("shared_address", shared("addresses"), F.lit(WEIGHTS["address"])), ("shared_social_profile", shared("socials"), F.lit(WEIGHTS["social"])), ("shared_locality", shared("localities"), F.lit(WEIGHTS["locality"]))]
     seen = rated.withColumn("signals", F.array_compact(F.array(*[
         F.when(hit, F.struct(F.lit(name).alias("signal"), weight.cast("double").alias("weight"))) for name, hit, weight in signals])))
     score = F.greatest(F.lit(0.0), F.round(noisy_or(F.transform("signals", lambda s: s["weight"])) - CONFLICT_PENALTY * F.col("conflict_count"), 3))

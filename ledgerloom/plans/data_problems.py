@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.bad_rows import parse_records
 from ledgerloom.operators.hierarchy import descendant_pairs, hierarchy
 from ledgerloom.operators.history import HistoryStore, fold_identifier, fold_value
-from ledgerloom.session import shared_folder, table
+from ledgerloom.session import scratch_folder, table
 
 LINKS = {"parent": "parent_organisation_id", "merge": "merged_into_id"}
 LATE = "180 days"
@@ -70,7 +68,7 @@ def histories(spark: SparkSession, d: str) -> DataFrame:
     update that rebuilds only the chains it touches."""
     rows = statements(spark, d)
     cut = rows.agg((F.max("received_at") - F.expr(f"interval {LATE}")).alias("cut")).first()["cut"]
-    store = HistoryStore(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}")
+    store = HistoryStore(spark, scratch_folder(spark, "history"))
     late = F.coalesce(F.col("received_at") > F.lit(cut), F.lit(True)) if cut else F.lit(True)
     store.append(rows.where(~late))
     store.append(rows.where(late))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import web
-from ledgerloom.session import shared_folder, table
+from ledgerloom.session import scratch_folder, table
 from ledgerloom.streaming import jobs
 
 VOCABULARY = {
@@ -38,11 +36,11 @@ def exact_copies(spark: SparkSession, d: str) -> DataFrame:
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts and sums of events by type, by a stream over the events that runs until all are read."""
     schema = table(spark, d, "events").schema
-    work = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    work = scratch_folder(spark, "stream")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/event[s].parquet")
     timed = stream.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    jobs.run_once(jobs.windowed_counts(timed, "ts", "event_type", "value", "1 day"), f"{work}/out", f"{work}/state", "complete")
-    return spark.read.schema("start timestamp, event_type string, n bigint, total double").parquet(f"{work}/out").select(
+    jobs.run_once(jobs.windowed_counts(timed, "ts", "event_type", "value", "1 day"), f"{work}/out", f"{work}/state", "update")
+    return jobs.latest_rows(spark, f"{work}/out", "start timestamp, event_type string, n bigint, total double", ["start", "event_type"]).select(
         F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

@@ -55,10 +55,18 @@ def observation_scores(spark: SparkSession, d: str) -> DataFrame:
         conf.freshness(F.col("predicate"), F.col("observed_at"), as_of()).alias("freshness"))
 
 
+def _origins(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of one category that are of tier 6 or beyond stand for copies of each other, at 0.9; of better tiers at 0.4, which is too little."""
+    src = table(spark, d, "source_definition").groupBy("source_category", "authority_tier").agg(F.array_sort(F.collect_set("source_id")).alias("ids"))
+    pairs = src.select(F.element_at("ids", 1).alias("source_id"), F.explode("ids").alias("related_source_id"), F.lit("same_publisher").alias("relationship_type"),
+                       F.when(F.col("authority_tier") >= 6, 0.9).otherwise(0.4).alias("confidence"), F.lit(None).cast("timestamp").alias("valid_to"))
+    return facts.independent_origins(pairs, as_of())
+
+
 def reconcile_facts(spark: SparkSession, d: str) -> DataFrame:
     canonical = facts.canonical_map(table(spark, d, "organisation"))
-    out = facts.reconcile(table(spark, d, "observation"), table(spark, d, "source_definition"), canonical, as_of())
-    return out.drop("best_evidence_document_id").withColumn("last_observed_at", F.date_format("last_observed_at", "yyyy-MM-dd HH:mm:ss"))
+    out = facts.reconcile(table(spark, d, "observation"), table(spark, d, "source_definition"), canonical, as_of(), _origins(spark, d))
+    return out.withColumn("last_observed_at", F.date_format("last_observed_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 def canonical_map(spark: SparkSession, d: str) -> DataFrame:
@@ -189,8 +197,8 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     return graph.edges(rows.select(F.col("org_id").alias("subject"), "e.object", "e.relation", "confidence").where("trim(object) <> ''"))
 
 
-def _near(links: DataFrame, least_links: int) -> DataFrame:
-    starts = links.groupBy("src").agg(F.countDistinct("dst").alias("n")).where(F.col("n") >= least_links).select(F.col("src").alias("id"))
+def _near(links: DataFrame) -> DataFrame:
+    starts = links.select(F.col("src").alias("id")).distinct()
     return graph.neighbourhood(starts, links, depth=2, least=0.05)
 
 
@@ -200,41 +208,26 @@ def _paths(links: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def graph_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
-    """Within two hops over parent and merge links, from every organisation with three or more links."""
-    return _near(_links(spark, d), 3)
-
-
-def graph_neighbourhood_all(spark: SparkSession, d: str) -> DataFrame:
     """Within two hops over parent and merge links, from every linked organisation."""
-    return _near(_links(spark, d), 1)
+    return _near(_links(spark, d))
 
 
 def graph_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Shortest paths from the organisations with three or more links to what is two hops away."""
-    return _paths(_links(spark, d), graph_neighbourhood(spark, d))
-
-
-def graph_paths_all(spark: SparkSession, d: str) -> DataFrame:
     """Shortest paths from every linked organisation to what is two hops away."""
-    return _paths(_links(spark, d), graph_neighbourhood_all(spark, d))
+    return _paths(_links(spark, d), graph_neighbourhood(spark, d))
 
 
-def _met(spark: SparkSession, d: str, which: str) -> DataFrame:
+def _met(spark: SparkSession, d: str) -> DataFrame:
     obs = table(spark, d, "observation").where("document_id is not null")
     meetings = obs.groupBy(F.col("org_id").alias("member"), F.col("document_id").cast("string").alias("event")).agg(F.max("extraction_confidence").alias("confidence"))
-    starts = obs.where(which).select(F.col("org_id").alias("id")).distinct()
+    starts = obs.where("org_id is not null").select(F.col("org_id").alias("id")).distinct()
     none = spark.createDataFrame([], "src string, dst string, relation string, confidence double")
     return graph.neighbourhood(starts, none, depth=1, meetings=meetings)
 
 
 def shared_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Organisations met through a common document by those with an observation of predicate location and confidence 0.98 or more."""
-    return _met(spark, d, "predicate = 'location' and extraction_confidence >= 0.98")
-
-
-def shared_documents_all(spark: SparkSession, d: str) -> DataFrame:
     """Organisations met through a common document by every organisation with an observation from a document."""
-    return _met(spark, d, "org_id is not null")
+    return _met(spark, d)
 
 
 def location_scope(spark: SparkSession, d: str) -> DataFrame:
@@ -263,7 +256,7 @@ QUERIES = {f.__name__: f for f in (
     org_name_keys, contact_keys, identifier_keys, candidate_hosts, observation_scores, reconcile_facts, canonical_map, merge_groups,
     blocking_keys, duplicate_candidates, review_queue, organisation_counts, source_document_counts, coverage_matrix, source_targeting,
     evidence_rollup, profile_completeness, latest_observations, contact_points, dangling_evidence, stale_entities, entity_search,
-    research_gaps, graph_neighbourhood, graph_neighbourhood_all, graph_paths, graph_paths_all, shared_documents, shared_documents_all, location_scope, import_matches)}
+    research_gaps, graph_neighbourhood, graph_paths, shared_documents, location_scope, import_matches)}
 
 _SUFFIX = "|".join(text.LEGAL_SUFFIXES)
 
@@ -292,7 +285,7 @@ good AS (SELECT * FROM rel WHERE trim(object) <> '' AND object <> subject),
 links AS (SELECT src, dst, relation, max(confidence) AS confidence FROM (
   SELECT subject AS src, object AS dst, relation, confidence FROM good UNION ALL SELECT object, subject, relation, confidence FROM good) GROUP BY ALL),
 best AS (SELECT src, dst, max(confidence) AS confidence FROM links GROUP BY src, dst),
-starts AS (SELECT src AS id FROM links GROUP BY src HAVING count(DISTINCT dst) >= 3),
+starts AS (SELECT DISTINCT src AS id FROM links),
 one AS (SELECT s.id AS start, b.dst AS id, round(b.confidence, 3) AS reach FROM starts s JOIN best b ON b.src = s.id WHERE round(b.confidence, 3) >= 0.05),
 two AS (SELECT o.start, b.dst AS id, max(round(o.reach * b.confidence, 3)) AS reach FROM one o JOIN best b ON b.src = o.id
         WHERE b.dst <> o.start AND (o.start, b.dst) NOT IN (SELECT (start, id) FROM one) GROUP BY o.start, b.dst HAVING max(round(o.reach * b.confidence, 3)) >= 0.05)"""
@@ -314,29 +307,30 @@ SELECT DISTINCT h.org_id, h.host FROM h JOIN observation o ON o.org_id = h.org_i
     "observation_scores": f"""SELECT observation_id, {_AUTH} AS authority, {_FRESH.format(t='observed_at')} AS freshness
 FROM (SELECT DISTINCT observation_id, predicate, source_id, observed_at FROM observation) JOIN source_definition USING (source_id)""",
     "reconcile_facts": f"""WITH RECURSIVE {_CANON},
+og AS (SELECT source_id, CASE WHEN authority_tier >= 6 THEN min(source_id) OVER (PARTITION BY source_category, authority_tier) ELSE source_id END AS origin FROM source_definition),
 obs AS (SELECT DISTINCT ON (observation_id) * FROM observation WHERE normalisation_status <> 'rejected' AND predicate NOT IN {facts.MANY_VALUED}),
-seen AS (SELECT coalesce(c.root_id, o.org_id) AS entity_id, o.*, lower(trim(object_value)) AS vkey, coalesce({_AUTH}, 0.0) AS auth
-         FROM obs o LEFT JOIN canon c USING (org_id) LEFT JOIN source_definition s USING (source_id)),
+seen AS (SELECT coalesce(c.root_id, o.org_id) AS entity_id, o.*, lower(trim(object_value)) AS vkey, coalesce(og.origin, o.source_id) AS origin, coalesce({_AUTH}, 0.0) AS auth
+         FROM obs o LEFT JOIN canon c USING (org_id) LEFT JOIN source_definition s USING (source_id) LEFT JOIN og USING (source_id)),
 val AS (SELECT entity_id, predicate, vkey, count(*) AS n, max(auth) AS auth, max(extraction_confidence) AS extraction, max(observed_at) AS newest,
-        bool_or(human_verified) AS human, count(DISTINCT source_id) AS sources, arg_max(object_value, struct_pack(a := observed_at, b := observation_id)) AS value
+        bool_or(human_verified) AS human, count(DISTINCT source_id) AS sources, count(DISTINCT origin) AS origins, arg_min_null(document_id, struct_pack(a := -auth, b := observed_at, c := observation_id)) AS doc, arg_max(object_value, struct_pack(a := observed_at, b := observation_id)) AS value
         FROM seen GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY entity_id, predicate ORDER BY round(auth * ({_CORR.format(n='sources')}), 6) DESC, extraction DESC, sources DESC, newest DESC, vkey) AS place FROM val),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY entity_id, predicate ORDER BY round(auth * ({_CORR.format(n='origins')}), 6) DESC, extraction DESC, sources DESC, newest DESC, vkey) AS place FROM val),
 win AS (SELECT * FROM ranked WHERE place = 1),
-lost AS (SELECT s.entity_id, s.predicate, count(DISTINCT s.source_id) AS contradicting, count(*) AS n_against FROM seen s
+lost AS (SELECT s.entity_id, s.predicate, count(DISTINCT s.origin) AS contradicting, count(*) AS n_against FROM seen s
          JOIN win w ON s.entity_id = w.entity_id AND s.predicate = w.predicate AND s.vkey <> w.vkey GROUP BY ALL),
 parts AS (SELECT w.*, coalesce(l.contradicting, 0) AS contradicting, coalesce(l.n_against, 0) AS n_against, CASE WHEN human THEN 0.95 ELSE 0.85 END::DOUBLE AS match_score,
-          {_FRESH.format(t='newest')} AS freshness_score, {_CORR.format(n='sources')} AS corroboration_score,
-          CASE WHEN coalesce(l.contradicting, 0) = 0 THEN 1.0 ELSE round(greatest(0.4, 1.0 - 0.6 * (l.contradicting / (sources + l.contradicting))), 3) END::DOUBLE AS contradiction_score
+          {_FRESH.format(t='newest')} AS freshness_score, {_CORR.format(n='origins')} AS corroboration_score,
+          CASE WHEN coalesce(l.contradicting, 0) = 0 THEN 1.0 ELSE round(greatest(0.4, 1.0 - 0.6 * (l.contradicting / (origins + l.contradicting))), 3) END::DOUBLE AS contradiction_score
           FROM win w LEFT JOIN lost l USING (entity_id, predicate)),
 full_ AS (SELECT *, round(greatest(0.0, least(1.0, 1.0 * auth * extraction * match_score * freshness_score * corroboration_score * contradiction_score)), 3) AS final_confidence,
-          contradicting > 0 AND contradicting / (sources + contradicting) >= 1.0::DOUBLE / 3 AS conflicted, freshness_score < 0.3 AS stale FROM parts)
+          contradicting > 0 AND contradicting / (origins + contradicting) >= 1.0::DOUBLE / 3 AS conflicted, freshness_score < 0.3 AS stale FROM parts)
 SELECT entity_id, predicate, value, CASE WHEN conflicted THEN 'conflicted' WHEN stale THEN 'stale'
-  WHEN (final_confidence >= 0.8 AND sources >= 2) OR (human AND final_confidence >= 0.6) THEN 'confirmed' WHEN final_confidence >= 0.55 THEN 'probable'
+  WHEN (final_confidence >= 0.8 AND origins >= 2) OR (human AND final_confidence >= 0.6) THEN 'confirmed' WHEN final_confidence >= 0.55 THEN 'probable'
   WHEN final_confidence >= 0.3 THEN 'possible' ELSE 'unknown' END AS status,
   auth AS authority_score, extraction AS extraction_score, match_score, freshness_score, corroboration_score, contradiction_score, final_confidence,
   CASE WHEN conflicted THEN 'conflicted' WHEN stale THEN 'stale' WHEN human THEN 'verified' WHEN final_confidence >= 0.75 THEN 'high'
   WHEN final_confidence >= 0.5 THEN 'moderate' WHEN final_confidence >= 0.3 THEN 'low' ELSE 'speculative' END AS confidence_vocabulary,
-  CAST(sources AS INTEGER) AS independent_source_count, n AS supporting_observations, n_against AS contradicting_observations,
+  CAST(origins AS INTEGER) AS independent_source_count, n AS supporting_observations, n_against AS contradicting_observations, doc AS best_evidence_document_id,
   strftime(newest AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS last_observed_at FROM full_""",
     "canonical_map": f"WITH RECURSIVE {_CANON} SELECT org_id, root_id, looped FROM canon",
     "merge_groups": f"WITH RECURSIVE {_CANON} SELECT root_id, count(*) AS members, min(org_id) AS least_id FROM canon WHERE NOT looped GROUP BY root_id HAVING count(*) > 1",
@@ -392,11 +386,7 @@ UNION ALL SELECT DISTINCT org_id, status || '_fact:' || predicate FROM fact_asse
     "graph_paths": f"""WITH {_LINKS}, walks AS (SELECT t.start AS source, t.id AS target, t.start || '>' || a.dst || '>' || t.id AS path, round(a.confidence * b.confidence, 3) AS confidence
   FROM two t JOIN best a ON a.src = t.start JOIN best b ON b.src = a.dst AND b.dst = t.id)
 SELECT * FROM walks QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY confidence DESC, path) <= 5""",
-    "shared_documents": """WITH m AS (SELECT org_id AS member, document_id AS event, max(extraction_confidence) AS confidence FROM observation WHERE document_id IS NOT NULL GROUP BY 1, 2),
-s AS (SELECT DISTINCT org_id AS id FROM observation WHERE document_id IS NOT NULL AND predicate = 'location' AND extraction_confidence >= 0.98)
-SELECT s.id AS start, b.member AS id, CAST(1 AS INTEGER) AS hops, max(round(least(a.confidence, b.confidence), 3)) AS confidence
-FROM s JOIN m a ON a.member = s.id JOIN m b ON a.event = b.event AND b.member <> s.id GROUP BY 1, 2""",
-    "shared_documents_all": """WITH m AS (SELECT org_id AS member, document_id AS event, max(extraction_confidence) AS confidence FROM observation WHERE document_id IS NOT NULL GROUP BY 1, 2)
+    "shared_documents": """WITH m AS (SELECT org_id AS member, document_id AS event, max(extraction_confidence) AS confidence FROM observation WHERE document_id IS NOT NULL GROUP BY 1, 2)
 SELECT a.member AS start, b.member AS id, CAST(1 AS INTEGER) AS hops, max(round(least(a.confidence, b.confidence), 3)) AS confidence
 FROM m a JOIN m b ON a.event = b.event AND b.member <> a.member GROUP BY 1, 2""",
     "location_scope": "WITH c AS (SELECT DISTINCT location_id, CASE WHEN country IN ('AU', 'Australia') THEN 'AU' WHEN country IN ('NZ', 'New Zealand') THEN 'NZ' END AS land, CASE region "
@@ -413,4 +403,3 @@ places AS (SELECT {_name('canonical_name')} AS name_key, lower(trim(locality)) A
 SELECT run_id, line_no, coalesce(i.org_id, p.org_id) AS org_id, CASE WHEN i.org_id IS NOT NULL THEN 'identifier' WHEN p.org_id IS NOT NULL THEN 'name_place' ELSE 'new' END AS matched_by
 FROM rows r LEFT JOIN ids i ON r.ident = i.ident LEFT JOIN places p ON r.name_key = p.name_key AND r.town = p.town""",
 }
-SQL |= {f"{k}_all": SQL[k].replace(" HAVING count(DISTINCT dst) >= 3", "") for k in ("graph_neighbourhood", "graph_paths")}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import geography as geo
 from ledgerloom.functions import text
 from ledgerloom.operators import records
 from ledgerloom.operators.bad_rows import parse_records
@@ -48,9 +49,10 @@ def status_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def places_under(spark: SparkSession, d: str) -> DataFrame:
-    """Locations by place code related to wanted codes, ancestors and descendants alike."""
-    code = F.concat_ws("-", F.when(F.col("country").isin("AU", "Australia"), "AU").otherwise("NZ"), F.upper("region"), F.upper(F.replace("locality", F.lit(" "), F.lit("_"))))
-    loc = table(spark, d, "org_location").where("length(region) = 3 and locality is not null").select("location_id", code.alias("code")).distinct()
+    """Locations by place code related to wanted codes, ancestors and descendants alike; without a country they count as Australian."""
+    country = F.when(F.upper("country").isin("NZ", "NEW ZEALAND") | (F.upper("region") == "WGN"), "NZ").otherwise("AU")
+    code = F.concat_ws("-", geo.row_code(country, F.col("region")), F.upper(F.replace(F.nullif(F.trim("locality"), F.lit("")), F.lit(" "), F.lit("_"))))
+    loc = table(spark, d, "org_location").select("location_id", F.when(geo.row_code(country, F.col("region")).isNotNull(), code).alias("code")).distinct()
     wanted = spark.createDataFrame([("AU-QLD",), ("NZ",), ("AU-VIC-NOWHERE-ELSE",)], "wanted string")
     return records.related_places(loc, wanted, "code", "wanted").select("location_id", "code", "wanted")
 
@@ -105,10 +107,14 @@ count(DISTINCT org_id) AS owners FROM organisation_identifier GROUP BY 1, 2""",
     "status_as_of": """WITH o AS (SELECT DISTINCT observation_id, org_id, observed_at FROM observation WHERE normalisation_status <> 'rejected' AND predicate = 'phone'),
 s AS (SELECT org_id, valid_from, max(lower(trim(object_value))) AS status FROM observation WHERE normalisation_status <> 'rejected' AND predicate = 'registration_status' AND valid_from IS NOT NULL GROUP BY 1, 2)
 SELECT o.observation_id, s.status FROM o ASOF LEFT JOIN s ON o.org_id = s.org_id AND o.observed_at >= s.valid_from""",
-    "places_under": """WITH l AS (SELECT DISTINCT location_id, concat_ws('-', CASE WHEN country IN ('AU', 'Australia') THEN 'AU' ELSE 'NZ' END, upper(region), upper(replace(locality, ' ', '_'))) AS code
-  FROM org_location WHERE length(region) = 3 AND locality IS NOT NULL)
-SELECT location_id, code, wanted FROM l, (VALUES ('AU-QLD'), ('NZ'), ('AU-VIC-NOWHERE-ELSE')) v(wanted)
-WHERE code = wanted OR starts_with(code, wanted || '-') OR starts_with(wanted, code || '-')""",
+    "places_under": """WITH l AS (SELECT location_id, trim(locality) AS town, CASE WHEN upper(country) IN ('NZ', 'NEW ZEALAND') OR upper(region) = 'WGN' THEN 'NZ' ELSE 'AU' END AS c, upper(trim(coalesce(region, ''))) AS r FROM org_location),
+s AS (SELECT *, CASE r WHEN 'AUSTRALIAN CAPITAL TERRITORY' THEN 'ACT' WHEN 'NEW SOUTH WALES' THEN 'NSW' WHEN 'NORTHERN TERRITORY' THEN 'NT' WHEN 'QUEENSLAND' THEN 'QLD' WHEN 'SOUTH AUSTRALIA' THEN 'SA' WHEN 'TASMANIA' THEN 'TAS'
+  WHEN 'VICTORIA' THEN 'VIC' WHEN 'WESTERN AUSTRALIA' THEN 'WA' ELSE r END AS short FROM l),
+p AS (SELECT DISTINCT location_id, concat_ws('-', CASE WHEN r = '' THEN c WHEN c = 'AU' AND short IN ('ACT', 'NSW', 'NT', 'QLD', 'SA', 'TAS', 'VIC', 'WA') THEN 'AU-' || short
+  WHEN c = 'NZ' AND r IN ('AUK', 'BOP', 'CAN', 'GIS', 'HKB', 'MBH', 'MWT', 'NSN', 'NTL', 'OTA', 'STL', 'TAS', 'TKI', 'WGN', 'WKO', 'WTC') THEN 'NZ-' || r END, upper(replace(nullif(town, ''), ' ', '_'))) AS code,
+  r = '' OR (c = 'AU' AND short IN ('ACT', 'NSW', 'NT', 'QLD', 'SA', 'TAS', 'VIC', 'WA')) OR (c = 'NZ' AND r IN ('AUK', 'BOP', 'CAN', 'GIS', 'HKB', 'MBH', 'MWT', 'NSN', 'NTL', 'OTA', 'STL', 'TAS', 'TKI', 'WGN', 'WKO', 'WTC')) AS ok FROM s)
+SELECT location_id, code, wanted FROM p, (VALUES ('AU-QLD'), ('NZ'), ('AU-VIC-NOWHERE-ELSE')) v(wanted)
+WHERE ok AND (code = wanted OR starts_with(code, wanted || '-') OR starts_with(wanted, code || '-'))""",
     "document_novelty": """SELECT doc_id, lower(trim(source)) AS source, row_number() OVER (PARTITION BY lower(trim(source)), sha256(text) ORDER BY retrieved_at, doc_id) = 1 AS novel FROM documents""",
     "fact_changes": """WITH f AS (SELECT org_id, predicate, arg_max(lower(trim(value)), struct_pack(a := final_confidence, b := assertion_id)) AS v FROM fact_assertion
   WHERE status <> 'disproven' AND value IS NOT NULL GROUP BY 1, 2),

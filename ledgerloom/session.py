@@ -50,8 +50,30 @@ def ship(spark: SparkSession) -> None:
     sc._ledgerloom_shipped = True
 
 
+_SCRATCH: dict[str, SparkSession] = {}
+
+
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder of our own in the shared one, removed when the application ends: results read from it until then."""
+    if not _SCRATCH:
+        atexit.register(_sweep)
+    folder = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    _SCRATCH[folder] = spark
+    return folder
+
+
+def _sweep() -> None:
+    for folder, spark in _SCRATCH.items():
+        try:
+            jvm = spark._jvm
+            where = jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001, S112  the session may have been stopped before
+            continue
+
+
 class Stash:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes those no longer read.
+    """Tables written to the shared folder to cut lineage; ``drop`` removes those no longer read, the end of the application all.
 
     Unlike ``DataFrame.checkpoint`` the files are columnar and compressed, so a later step reads only its columns,
     and they outlive lost executors.
@@ -59,7 +81,7 @@ class Stash:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
+        self.folder = scratch_folder(spark, "stash")
         self.count = 0
 
     def put(self, df: DataFrame, *partition_by: str) -> DataFrame:

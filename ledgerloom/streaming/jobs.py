@@ -21,10 +21,11 @@ def windowed_counts(events: DataFrame, time: str, key: str, value: str, width: s
 def run_once(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> None:
     """Write what is available now to Parquet and stop; a restart goes on from the checkpoint.
 
-    ``append`` writes windows once the watermark has passed them; ``complete`` replaces the output by all windows so far.
+    ``append`` writes windows once the watermark has passed them; ``update`` writes what each batch changed under the batch's
+    number, so a batch that is run again replaces its own rows only; ``latest_rows`` reads the last state of each key.
     """
-    if mode == "complete":
-        query = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(folder)).option(
+    if mode == "update":
+        query = stream.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/batch={n}")).option(
             "checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         return
@@ -32,6 +33,13 @@ def run_once(stream: DataFrame, folder: str, checkpoint: str, mode: str = "appen
     query.awaitTermination()
 
 
+def latest_rows(spark: SparkSession, folder: str, schema: str, keys: list[str]) -> DataFrame:
+    """The last row written for each key by ``run_once`` in update mode."""
+    rows = spark.read.schema(f"{schema}, batch bigint").parquet(folder)
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*keys, "r.*")
+
+
 def for_each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Run ``work`` on each micro-batch of what is available now; used to recompute the entities a batch touches."""
     query = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -42,6 +50,12 @@ def backoff(attempts: int) -> float:
     return min(5.0 * 2 ** max(attempts - 1, 0), 300.0)
 
 
+def in_order(frames: Iterator[pd.DataFrame]) -> list[str]:
+    """The outcomes a trigger brings for one key, in order of ``seq`` over all its frames."""
+    parts = list(frames)
+    return pd.concat(parts).sort_values("seq", kind="stable")["outcome"].tolist() if parts else []
+
+
 JOB_OUT = "job_id string, attempts int, status string, next_run_after double"
 
 
@@ -50,8 +64,7 @@ def job_states(attempts: DataFrame, max_attempts: int = 3) -> DataFrame:
     with doubling delay, failed after ``max_attempts``, succeeded after ok; outcomes after an end change nothing."""
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tries, status = state.get if state.exists else (0, "queued")
-        for df in frames:
-            for outcome in df.sort_values("seq")["outcome"]:
+        for outcome in in_order(frames):
                 if status != "queued":
                     break
                 tries += 1
@@ -78,8 +91,7 @@ def cadences(outcomes: DataFrame, start: float = DAY) -> DataFrame:
     """Streaming state of each source's collection interval and counters over its outcomes in order of ``seq``."""
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seconds, fetches, failures = state.get if state.exists else (start, 0, 0)
-        for df in frames:
-            for outcome in df.sort_values("seq")["outcome"]:
+        for outcome in in_order(frames):
                 seconds, fetches = next_interval(seconds, outcome), fetches + 1
                 failures = failures + 1 if outcome == "failure" else 0
         state.update((seconds, fetches, failures))

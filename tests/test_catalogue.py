@@ -40,12 +40,12 @@ def test_query(spark, db, name):
 
 
 @pytest.mark.parametrize("name, starts", [
-    ("shared_documents_all", "SELECT DISTINCT a.org_id FROM observation a JOIN observation b USING (document_id) WHERE a.org_id <> b.org_id"),
-    ("graph_neighbourhood_all", "WITH l AS (SELECT org_id AS a, unnest([parent_organisation_id, merged_into_id]) AS b FROM organisation) "
+    ("shared_documents", "SELECT DISTINCT a.org_id FROM observation a JOIN observation b USING (document_id) WHERE a.org_id <> b.org_id"),
+    ("graph_neighbourhood", "WITH l AS (SELECT org_id AS a, unnest([parent_organisation_id, merged_into_id]) AS b FROM organisation) "
                                 "SELECT unnest([a, b]) FROM l WHERE trim(b) <> '' AND a <> b")])
 def test_whole_queries_start_everywhere(spark, db, name, starts):
     got = {r["start"] for r in catalogue.QUERIES[name](spark, DATA).select("start").distinct().collect()}
-    assert got == {x for x, in db.execute(starts).fetchall()} > {r["start"] for r in catalogue.QUERIES[name[:-4]](spark, DATA).collect()}
+    assert got == {x for x, in db.execute(starts).fetchall()}
 
 
 def test_sql_has_queries():

@@ -150,7 +150,7 @@ def repeated_runs(runs: DataFrame, records: DataFrame, version: str) -> DataFram
 
 def coverage_time(value: Column) -> Column:
     """A date or an ISO time as a timestamp; without a zone it is UTC. Null if it is neither."""
-    v = F.trim(value)
+    v = F.regexp_replace(F.trim(value), r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?!:)", "$1:00")  # the engine wants seconds before a zone
     return F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(F.concat(v, F.lit("T00:00:00+00:00")))).when(
         v.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"),
         F.try_to_timestamp(F.when(v.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), v).otherwise(F.concat(v, F.lit("+00:00")))))

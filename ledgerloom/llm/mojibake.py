@@ -71,6 +71,8 @@ INVERSE = {f"{t}>{r}": {ch: CHARS[t][b] for ch, b in BYTES[r].items() if b in CH
 STATES = (CLEAN, *(f"utf8>{c}" for c in UTF8_READ_AS), TWICE, *INVERSE, LOST)
 REFERENCE = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 RUN = re.compile(r"[^\x00-\x7f]+")
+#: The same with the characters before and after each run.
+RUN_BETWEEN = re.compile(r"(?s)(?:(?<=(.))|^)([^\x00-\x7f]+)(?=(.?))")
 #: Runs whose scores a worker remembers.
 REMEMBERED = 1 << 17
 
@@ -163,14 +165,6 @@ def pair_bucket(before: str, c: str) -> int:
     return zlib.crc32((before + c).encode("utf-8", "surrogatepass")) & (PAIR_BUCKETS - 1)
 
 
-def contexts(text: str, i: int, j: int) -> Iterator[tuple[str, str]]:
-    """(what stands before, character) for the characters of a run; before the first stands the kind of its neighbour."""
-    before = "\x01" + _kind(text[i - 1:i] if i else "")
-    for c in text[i:j]:
-        yield before, c
-        before = c
-
-
 class Model:
     """counts: how often each character outside ASCII stands in clean places, over all documents; befores: how often
     something stands before such a character; pairs: how often the two stand together, by bucket."""
@@ -231,11 +225,8 @@ class Model:
         return out
 
     def _plain(self, before: str, run: str, after: str) -> bool:
-        """No path through the run, switching free, scores better than the clean one."""
-        key = (before, run, after)
-        got = self.plain_runs.get(key)
-        if got is not None:
-            return got
+        """No path through the run between two characters, switching free, scores better than the clean one."""
+        before, after = _kind(before), _kind(after)
         n, first = len(run), "\x01" + before
         best: list[dict[str, float]] = [{} for _ in range(n + 1)]  # score of the best path to a cut, by the character last emitted
         best[0][first] = clean = 0.0
@@ -254,16 +245,21 @@ class Model:
             else:
                 last = run[k - 1] if k else first
                 clean += got_k[0][1] + self.log_likely(last, run[k]) + (self.followed.get(last, self.unseen_followed) if k else 0.0)
-        got = clean >= max(best[n].values()) - 1e-9
-        if len(self.plain_runs) >= REMEMBERED:
-            self.plain_runs.clear()
-        self.plain_runs[key] = got
-        return got
-
-    def plain(self, text: str) -> bool:
-        """The best path of the text is clean throughout: no state explains one of its runs better than the clean one. Very long
-        runs are left to the search."""
-        return all(m.end() - m.start() <= 64 and self._plain(_kind(text[m.start() - 1:m.start()]), m[0], _kind(text[m.end():m.end() + 1])) for m in RUN.finditer(text))
+        return clean >= max(best[n].values()) - 1e-9
+
+    def plain(self, runs: list[tuple[str, str, str]]) -> bool:
+        """The best path of a text with these runs between their neighbours is clean throughout: no state explains one of them
+        better than the clean one. Very long runs are left to the search."""
+        for run in runs:
+            got = self.plain_runs.get(run)
+            if got is None:
+                got = len(run[1]) <= 64 and self._plain(*run)
+                if len(self.plain_runs) >= REMEMBERED:
+                    self.plain_runs.clear()
+                self.plain_runs[run] = got
+            if not got:
+                return False
+        return True
 
     def label(self, text: str) -> list[tuple[int, int, int, str]]:
         """(start, end, state, clean text) of the emissions of the best path."""
@@ -327,7 +323,7 @@ class Model:
         for turn in range(TURNS):
             shown, offsets = expanded(text)
             at = offsets.__getitem__ if offsets else int
-            if self.plain(shown):
+            if self.plain(RUN_BETWEEN.findall(shown)):
                 break
             bad = [x for x in self.label(shown) if x[2] and (STATES[x[2]] == LOST or x[3] != shown[x[0]:x[1]])]
             mend = [(at(a), at(b), o) for a, b, state, o in bad if STATES[state] != LOST]
@@ -349,24 +345,37 @@ class Model:
 
 def tally(texts, counts: Counter, model: Model | None = None) -> None:
     """Adds to ``counts`` the characters outside ASCII, what stands before them, and both together: of runs that do not read
-    as garbled UTF-8, or with a model of what it labels clean."""
+    as garbled UTF-8, or with a model of what it labels clean. Equal runs between equal neighbours are counted together."""
+    seen: Counter = Counter()
+
+    def settle() -> None:
+        for (before, run, _), n in seen.items():
+            if model is None and (REPLACEMENT in run or decodable(run)):
+                continue
+            last = "\x01" + _kind(before)
+            for c in run:
+                counts["c" + c] += n
+                counts["b" + last] += n
+                counts[f"p{pair_bucket(last, c)}"] += n
+                last = c
+        seen.clear()
+
     for text in texts:
         if not text or text.isascii():
             continue
-        clean = None
-        if model is not None and not model.plain(text):
-            clean = [0] * (len(text) + 1)  # how many characters before each are not clean
+        runs = RUN_BETWEEN.findall(text)
+        if model is None or model.plain(runs):
+            seen.update(runs)
+        else:
+            dirty = [0] * (len(text) + 1)  # how many characters before each are not clean
             for a, b, state, _ in model.label(text):
                 if state:
-                    clean[a + 1:b + 1] = [1] * (b - a)
-            clean = list(accumulate(clean))
-        for m in RUN.finditer(text):
-            i, j = m.span()
-            if clean[i] == clean[j] if clean else model is not None or not (decodable(m[0]) or REPLACEMENT in m[0]):
-                for before, c in contexts(text, i, j):
-                    counts["c" + c] += 1
-                    counts["b" + before] += 1
-                    counts[f"p{pair_bucket(before, c)}"] += 1
+                    dirty[a + 1:b + 1] = [1] * (b - a)
+            dirty = list(accumulate(dirty))
+            seen.update(run for run, m in zip(runs, RUN.finditer(text)) if dirty[m.start()] == dirty[m.end()])
+        if len(seen) > REMEMBERED:
+            settle()
+    settle()
 
 
 def model_of(counts: dict[str, int]) -> Model:

@@ -138,7 +138,7 @@ def test_shortcut_never_hides_a_path():
     for _ in range(300):
         t, u = r.choice(pool), r.choice(pool)
         text = t[:r.randrange(60)] + u[r.randrange(40):]
-        assert not m.plain(text) or all(not x[2] for x in m.label(text))
+        assert not m.plain(mojibake.RUN_BETWEEN.findall(text)) or all(not x[2] for x in m.label(text))
 
 
 def test_second_tally_counts_what_is_clean():

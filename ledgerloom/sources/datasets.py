@@ -8,7 +8,7 @@ import json
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ENTRIES, MAX_MEMBER_BYTES, MAX_RATIO = 2000, 100 << 20, 100.0
@@ -99,15 +99,15 @@ def store_content(new: DataFrame, folder: str) -> int:
     spark = new.sparkSession
     keyed = new.withColumn("content_hash", content_address(F.col("content"))).withColumn("shard", F.substring("content_hash", 1, 2)).dropDuplicates(["source_id", "url", "content_hash"])
     try:
-        have = spark.read.parquet(folder).select("source_id", "url", "content_hash")
+        shards = [r[0] for r in keyed.select("shard").distinct().collect()]  # at most 256
+        have = spark.read.parquet(folder).where(F.col("shard").isin(shards)).select("source_id", "url", "content_hash")
         keyed = keyed.join(have, ["source_id", "url", "content_hash"], "left_anti")
     except Exception as e:  # an empty store has no files yet
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-    before = keyed.count()
-    if before:
-        keyed.write.mode("append").partitionBy("shard").option("compression", "zstd").parquet(folder)
-    return before
+    seen = Observation()
+    keyed.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("shard").option("compression", "zstd").parquet(folder)
+    return seen.get["n"]
 
 
 def load_content(spark: SparkSession, folder: str, content_hash: str) -> DataFrame:

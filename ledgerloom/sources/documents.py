@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.web import decode_bytes, page_text_of, sniff_of
 from ledgerloom.sources.datasets import MAX_ENTRIES, MAX_MEMBER_BYTES, MAX_RATIO
 
-MAX_CHARS = 2_000_000
 SCHEMA = "content_hash string, media_type string, status string, detail string, text string, segments array<struct<locator:string,text:string>>"
 OFFICE = {"word/document.xml": "docx", "xl/workbook.xml": "xlsx", "ppt/presentation.xml": "pptx"}
 
@@ -115,7 +114,7 @@ def process(raw: bytes, declared: str | None = None, filename: str | None = None
     except (ValueError, KeyError, IndexError, ElementTree.ParseError, zipfile.BadZipFile, csv.Error) as e:
         return media, "corrupt", type(e).__name__, "", []
     text = "\n".join(t for _, t in segments)
-    return media, "partial" if len(text) > MAX_CHARS else "succeeded", "text cut" if len(text) > MAX_CHARS else None, text[:MAX_CHARS], segments
+    return media, "succeeded", None, text, segments
 
 
 def processed(files: DataFrame, done: DataFrame | None = None) -> DataFrame:

@@ -281,3 +281,38 @@ def test_social_profiles_match(spark):
     obs = spark.createDataFrame([("a", "social_profile", "https://www.facebook.com/acme", "raw"), ("b", "social_profile", "facebook.com/Acme/", "raw")], "org_id string, predicate string, object_value string, normalisation_status string")
     got = matching.duplicate_candidates(org, idn, loc, obs).collect()
     assert [(r["a"], r["b"], r["score"], r["match_state"]) for r in got] == [("a", "b", 0.75, "possible_review")]
+
+
+# --- artefacts
+
+def test_artefacts_and_audit(spark, tmp_path):
+    from ledgerloom.sources import artefacts, datasets
+
+    folder = f"file://{tmp_path}/a"
+    mk = lambda *r: spark.createDataFrame(list(r), "content_hash string, text string")
+    artefacts.write_artefacts(mk(("aa1", "old"), ("bb1", "x" * 50)), folder, "text/1", {"b": 1, "a": 2})
+    artefacts.write_artefacts(mk(("aa1", "new")), folder, "text/1", {"a": 2, "b": 1})
+    artefacts.write_artefacts(mk(("aa1", "other")), folder, "text/2")
+    got = artefacts.read_artefacts(spark, folder, "text/1", {"a": 2, "b": 1}, most=10)
+    assert rows(got, "content_hash", "text", "too_large") == {("aa1", "new", False), ("bb1", None, True)}
+    assert rows(artefacts.read_artefacts(spark, folder, "text/2", hashes=["aa1", "zz"]), "text") == {("other",)}
+    assert rows(artefacts.stored(mk(("aa1", ""), ("q", "")), mk(("aa1", ""))), "content_hash", "exists") == {("aa1", True), ("q", False)}
+    docs = spark.createDataFrame([("h1", "text/html", "<title>T</title><nav>x</nav><p>a  b</p>"), ("h1", "text/html", "<title>T</title><nav>x</nav><p>a  b</p>"), ("h2", "text/plain", " a \n b "), ("h3", "image/png", "z")], "content_hash string, content_type string, body string")
+    assert rows(artefacts.distilled(docs), "content_hash", "text") == {("h1", "# T\na b"), ("h2", "a b")}
+    known = spark.createDataFrame([("d1", "v", artefacts.config_hash({}))], "document_id string, pipeline_version string, config_hash string")
+    assert rows(artefacts.new_runs(spark.createDataFrame([("d1",), ("d2",)], "document_id string"), known, "v", {}), "document_id") == {("d2",)}
+    files = spark.createDataFrame([("s", "b.txt", bytearray(b"x")), ("s", "a.txt", bytearray(b"x")), ("s", "c.txt", bytearray(b"y"))], "source_id string, filename string, content binary")
+    had = files.where("filename = 'c.txt'").select("source_id", F.sha2("content", 256).alias("content_hash"))
+    assert rows(artefacts.manual_evidence(files, had), "filename") == {("a.txt",)}
+    m = spark.createDataFrame([({" k ": " v ", "": "x", "e": " ", "z": "long" * 9},)], "m map<string,string>").select(artefacts.safe_metadata(F.col("m"), 9, 8).alias("m")).first()["m"]
+    assert m == {"k": "v", "z": "longlong"}
+    (tmp_path / "packs/b").mkdir(parents=True)
+    (tmp_path / "packs/b/manifest.json").write_text("{}")
+    (tmp_path / "packs/c").mkdir()
+    assert [p.name for p in artefacts.packs_under(f"{tmp_path}/packs")] == ["b"] and artefacts.packs_under("/nowhere") == [] and len(artefacts.pack_hash(tmp_path / "packs/b")) == 64
+    log = spark.createDataFrame([(T(1), "u", "made", "job", "1", {"n": "1"})], "at timestamp, actor string, action string, subject_type string, subject_id string, detail map<string,string>")
+    artefacts.record_audit(log, f"file://{tmp_path}/log")
+    artefacts.record_audit(log, f"file://{tmp_path}/log")
+    assert spark.read.parquet(f"file://{tmp_path}/log").count() == 2
+    new = spark.createDataFrame([("s", "u", bytearray(b"x")), ("s", "u", bytearray(b"x")), ("s", "v", bytearray(b"x"))], "source_id string, url string, content binary")
+    assert datasets.store_content(new, f"file://{tmp_path}/raw") == 2 and datasets.store_content(new, f"file://{tmp_path}/raw") == 0

@@ -56,16 +56,18 @@ def mended_streets(forms: DataFrame, stash: Stash) -> DataFrame:
     """
     premises = ("number", *STRICT, "type")
     whole = forms.where("street <> '' and town <> ''")
-    ends = lambda head, text: F.transform(affixes(F.col(text)), lambda e: _joined(*head, e))
+    ends = lambda head, text: F.transform(affixes(F.col(text)), lambda e: F.xxhash64(*head, e))
     tokens = F.concat(ends((F.lit("street"), *premises, "town"), "street"), ends((F.lit("town"), *premises, "street"), "town"))
-    rows = whole.select(F.explode(tokens).alias("token"), F.struct("form", "street", "town").alias("f"))
+    rows = stash.put(whole.select("form", F.explode(tokens).alias("token")))
     # most tokens are held by one form; the others, all of them, are paired: which of its tokens a form shares with its
     # misspelling cannot be told from how rare they are
-    live = stash.put(rows.join(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token").select("token", "f"))
-    a, b = live.select("token", F.col("f").alias("x")), live.select("token", F.col("f").alias("y"))
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    near = ((x("town") == y("town")) & same_street(x("street"), y("street"))) | ((x("street") == y("street")) & one_edit(x("town"), y("town")))
-    links = stash.put(a.join(b, "token").where((x("form") != y("form")) & near).select(x("form").alias("form"), y("form").alias("other")).distinct())
+    live = stash.put(rows.join(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "token", "left_semi"))
+    pairs = live.select("token", F.col("form").alias("x")).join(live.select("token", F.col("form").alias("y")), "token").where("x < y").select("x", "y").distinct()
+    side = lambda p: whole.select(F.col("form").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in (*premises, "street", "town")])
+    same = lambda c: F.col(f"x_{c}") == F.col(f"y_{c}")
+    near = (same("town") & same_street(F.col("x_street"), F.col("y_street"))) | (same("street") & one_edit(F.col("x_town"), F.col("y_town")))
+    found = stash.put(pairs.join(side("x"), "x").join(side("y"), "y").where(reduce(lambda p, q: p & q, map(same, premises)) & near).select("x", "y"))
+    links = found.select(F.col("x").alias("form"), F.col("y").alias("other")).unionByName(found.select(F.col("y").alias("form"), F.col("x").alias("other")))
     rank = stash.put(links.groupBy("form").agg(F.count("*").alias("degree")).join(whole.select("form", "n", "street", "town"), "form").select(
         "form", F.struct("n", "degree", "form", "street", "town").alias("r")))
     best = links.join(rank.select(F.col("form").alias("other"), "r"), "other").groupBy("form").agg(F.max("r").alias("best"))
@@ -84,12 +86,12 @@ def _face_tokens(face: str, core: tuple[str, ...], optional: tuple[str, ...]) ->
     """Tokens of a face, one for each set of its filled optional parts; the first has all that are filled."""
     sets = [tuple(c for i, c in enumerate(optional) if not k >> i & 1) for k in range(1 << len(optional))]
     part = lambda c, on: F.col(c) if on else F.lit("")
-    return F.array_distinct(F.array(*[_joined(F.lit(face), *core, *[part(c, c in on) for c in optional]) for on in sets]))
+    return F.array_distinct(F.array(*[F.xxhash64(F.lit(face), *core, *[part(c, c in on) for c in optional]) for on in sets]))
 
 
 def _tokens(box: str = "box", street: str = "street") -> Column:
     """(kind, token, own) of a form: the tokens of its faces; own marks the one with all filled parts of its face."""
-    none = F.array().cast("array<struct<kind:string,token:string,own:boolean>>")
+    none = F.array().cast("array<struct<kind:string,token:bigint,own:boolean>>")
     face = lambda kind, tokens: F.when(F.col(kind) != "", F.transform(tokens, lambda t, i: F.struct(F.lit(kind).alias("kind"), t.alias("token"), (i == 0).alias("own")))).otherwise(none)
     return F.concat(face("box", _face_tokens("box", ("box",), ("town",))), face("street", _face_tokens("street", ("number", "street", *STRICT), ("town", "type"))))
 
@@ -109,16 +111,24 @@ def containments(forms: DataFrame, stash: Stash) -> DataFrame:
     """``(x, y, kind)``, structs of the form and its components: the lesser form x is contained in the fuller y.
 
     ``forms``: form and components, distinct. x is indexed under its rarest token of those with all filled parts of a face,
-    y probes with all its tokens; y has more weight.
+    y probes with all its tokens; y has more weight. Tokens are hashed; what they stand for is compared in the end.
     """
     weight = sum(F.when(F.col(c) != "", w).otherwise(0.0) for c, w in WEIGHTS.items())
-    rows = stash.put(forms.select(F.struct("form", weight.alias("weight"), *FORM).alias("f"), F.explode(_tokens()).alias("t")).select("f", "t.*"))
-    df = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")  # a token of one form only leads nowhere
-    shared = stash.put(rows.join(df, "token"))
-    full = F.min(F.struct("df", "token", "kind", "f"))  # forms whose own token no other form has are indexed nowhere
-    index = shared.where("own").groupBy("f.form").agg(full.alias("r")).select("r.token", "r.kind", F.col("r.f").alias("x"))
-    probe = shared.select("token", F.col("f").alias("y"))
-    return index.join(probe, "token").where("y.weight > x.weight").where(_contained("x", "y")).select("x", "y", "kind")
+    both = (F.col("box") != "") & (F.col("street") != "")
+    lacks = ((F.col("box") != "") | (F.col("street") != "")) & ((F.col("town") == "") | ((F.col("street") != "") & (F.col("type") == "")))
+    known = forms.withColumn("f", F.struct("form", weight.alias("weight"), *FORM)).withColumn("both", both).withColumn("lacks", lacks)
+    spread = lambda df: df.select("f", "both", "lacks", F.explode(_tokens()).alias("t")).select("f", "both", "lacks", "t.*")
+    # a form of one face has one token with all its parts; of those of both faces the rarer is looked up
+    two = spread(known.where("both")).where("own")
+    counts = spread(known).select("token").join(two.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    rarest = two.join(counts, "token").groupBy("f.form").agg(F.min(F.struct("df", "token", "kind", "f")).alias("r")).select("r.token", "r.kind", F.col("r.f").alias("x"))
+    single = lambda where: spread(known.where(f"not both and {where}")).where("own").select("token", "kind", F.col("f").alias("x"))
+    # what lacks a part is held by fuller forms under a token without it; what lacks none, only by forms that have both faces
+    own_two = two.select("token", F.col("f").alias("y"))
+    parts = spread(known).where("not own").select("token", F.col("f").alias("y")).unionByName(own_two)
+    few = stash.put(single("lacks").unionByName(rarest))
+    joined = few.join(parts, "token").unionByName(single("not lacks").join(own_two, "token"))
+    return joined.where("y.weight > x.weight").where(_contained("x", "y")).select("x", "y", "kind").distinct()
 
 
 def _place(kind: str, p: str = "") -> Column:
@@ -136,9 +146,9 @@ def place_groups(locations: DataFrame, stash: Stash) -> DataFrame:
     parsed = stash.put(parsed_locations(locations))
     full = complete_places(parsed, parsed.select("town", "postcode"), stash)
     placed = stash.put(full.select("location_id", *FORM, F.md5(_joined(*FORM)).alias("form")))
-    forms = stash.put(mended_streets(placed.groupBy("form", *FORM).agg(F.countDistinct("location_id").alias("n")), stash))
-    spelt = stash.put(forms.withColumn("spelt", F.md5(_joined(*FORM))))
-    distinct = stash.put(spelt.groupBy(F.col("spelt").alias("form"), *FORM).agg(F.sum("n").alias("n")).drop("n"))
+    written = stash.put(placed.groupBy("form", *FORM).agg(F.countDistinct("location_id").alias("n")))
+    spelt = stash.put(mended_streets(written, stash).withColumn("spelt", F.md5(_joined(*FORM))))
+    distinct = stash.put(spelt.select(F.col("spelt").alias("form"), *FORM).distinct())
     held = stash.put(containments(distinct, stash))
     faces = []
     for kind in KINDS:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.addresses import place_members, same_places
 from ledgerloom.llm.entity_match import match
-from ledgerloom.llm.groups import PLACEHOLDERS, golden_records, groups, merge_sets, surviving_facts
+from ledgerloom.llm.groups import GOLDEN_FIELDS, PLACEHOLDERS, golden_records, groups, merge_sets, surviving_facts
 from ledgerloom.llm.leakage import leaked_items
 from ledgerloom.llm.mixing import mix_report, mixed_documents
 from ledgerloom.llm.mojibake import repaired
@@ -100,3 +100,16 @@ good AS (SELECT m.root_org_id, f.* FROM fact_assertion f JOIN members m USING (o
 SELECT root_org_id, predicate, assertion_id FROM good QUALIFY row_number() OVER (PARTITION BY root_org_id, predicate
   ORDER BY authority_score DESC NULLS LAST, last_observed_at DESC NULLS LAST, assertion_id) = 1""",
 }
+
+_FIELDS = GOLDEN_FIELDS
+_USABLE = (r"CASE WHEN length(regexp_replace(lower(trim({0})), '\s+', ' ', 'g')) > 0 AND regexp_replace(lower(trim({0})), '\s+', ' ', 'g') NOT IN (" + _PLACEHOLDERS +
+           r") AND NOT regexp_full_match(regexp_replace(lower(trim({0})), '\s+', ' ', 'g'), '[0\W_]+') THEN {0} END AS {0}")
+SQL["p3_records"] = SQL["p3_found"].split("good AS")[0] + f"""one AS (SELECT org_id, any_value(merged_into_id) AS x, {', '.join(f'any_value({f}) AS {f}' for f in (*_FIELDS, 'last_observed_at', 'entity_confidence'))} FROM organisation GROUP BY org_id),
+u AS (SELECT root_org_id, org_id, {', '.join(_USABLE.format(f) for f in _FIELDS)}, coalesce(epoch_us(last_observed_at), -9e18) AS seen, coalesce(entity_confidence, -9e18) AS trust FROM one JOIN members USING (org_id)),
+r AS (SELECT *, {' + '.join(f'({f} IS NOT NULL)::INT' for f in _FIELDS)} AS complete FROM u),
+dom AS (SELECT a.org_id AS above, b.root_org_id, b.org_id FROM r a JOIN r b ON a.root_org_id = b.root_org_id AND a.complete >= b.complete AND a.seen >= b.seen AND a.trust >= b.trust
+        AND (a.complete > b.complete OR a.seen > b.seen OR a.trust > b.trust)),
+walk AS (SELECT root_org_id, org_id, 1 AS n FROM r UNION SELECT d.root_org_id, d.org_id, w.n + 1 FROM walk w JOIN dom d ON d.above = w.org_id),
+placed AS (SELECT r.*, struct_pack(a := n, b := -complete, c := -seen, d := -trust, e := org_id) AS o, n FROM r JOIN (SELECT org_id, max(n) AS n FROM walk GROUP BY 1) USING (org_id))
+SELECT root_org_id, arg_min(org_id, o) AS survivor_id, CAST(greatest(1, {', '.join(f'coalesce(min(n) FILTER ({f} IS NOT NULL), 1)' for f in _FIELDS)}) AS INTEGER) AS layers,
+{', '.join(f'arg_min({f}, o) FILTER ({f} IS NOT NULL) AS {f}' for f in _FIELDS)} FROM placed GROUP BY root_org_id"""

@@ -9,8 +9,8 @@ and each labelled span gets its state's inverse transform. Text garbled twice th
 else was garbled twice is restored in two turns.
 
 Likelihoods are counted in two rounds: over all runs that do not read as garbled UTF-8, then over what the model of the
-first round labels clean. The best path is only searched for in texts with a run that some state explains better than the
-clean one does, the cost of switching left out; in all others it is clean throughout.
+first round labels clean. The best path is only searched for in texts whose runs some states explain so much better than the
+clean one, the cost of switching left out, that it could pay to enter one; in all others it is clean throughout.
 """
 
 from __future__ import annotations
@@ -178,7 +178,7 @@ class Model:
         self.followed = {c: math.log((befores.get(c, 0) + 0.5) / (n + 1.0)) for c, n in counts.items()}
         self.unseen_followed = math.log(0.25)
         self.memo: dict[tuple, list[tuple[int, float, str] | None]] = {}
-        self.plain_runs: dict[tuple[str, str, str], bool] = {}
+        self.gains: dict[tuple[str, str, str], float] = {}
         self.likely: dict[tuple[str, str], float] = {}
 
     def log_likely(self, before: str, c: str) -> float:
@@ -224,8 +224,8 @@ class Model:
         self.memo[key] = out
         return out
 
-    def _plain(self, before: str, run: str, after: str) -> bool:
-        """No path through the run between two characters, switching free, scores better than the clean one."""
+    def _gain(self, before: str, run: str, after: str) -> float:
+        """By how much the best path through the run between two characters, switching free, scores better than the clean one."""
         before, after = _kind(before), _kind(after)
         n, first = len(run), "\x01" + before
         best: list[dict[str, float]] = [{} for _ in range(n + 1)]  # score of the best path to a cut, by the character last emitted
@@ -245,19 +245,21 @@ class Model:
             else:
                 last = run[k - 1] if k else first
                 clean += got_k[0][1] + self.log_likely(last, run[k]) + (self.followed.get(last, self.unseen_followed) if k else 0.0)
-        return clean >= max(best[n].values()) - 1e-9
+        return max(best[n].values()) - clean
 
     def plain(self, runs: list[tuple[str, str, str]]) -> bool:
-        """The best path of a text with these runs between their neighbours is clean throughout: no state explains one of them
-        better than the clean one. Very long runs are left to the search."""
+        """The best path of a text with these runs between their neighbours is clean throughout: all that any other could gain is
+        less than what it costs to enter a state and to leave it. Very long runs are left to the search."""
+        gained = 0.0
         for run in runs:
-            got = self.plain_runs.get(run)
+            got = self.gains.get(run)
             if got is None:
-                got = len(run[1]) <= 64 and self._plain(*run)
-                if len(self.plain_runs) >= REMEMBERED:
-                    self.plain_runs.clear()
-                self.plain_runs[run] = got
-            if not got:
+                got = self._gain(*run) if len(run[1]) <= 64 else math.inf
+                if len(self.gains) >= REMEMBERED:
+                    self.gains.clear()
+                self.gains[run] = got
+            gained += got
+            if gained > -ENTER - LEAVE - 1e-9:
                 return False
         return True
 

@@ -316,3 +316,33 @@ def test_artefacts_and_audit(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/log").count() == 2
     new = spark.createDataFrame([("s", "u", bytearray(b"x")), ("s", "u", bytearray(b"x")), ("s", "v", bytearray(b"x"))], "source_id string, url string, content binary")
     assert datasets.store_content(new, f"file://{tmp_path}/raw") == 2 and datasets.store_content(new, f"file://{tmp_path}/raw") == 0
+
+
+# --- verification and search
+
+def test_websites_are_verified(spark):
+    from ledgerloom.operators import verification as v
+
+    org = spark.createDataFrame([("o", "Acme Scaffolding Pty Ltd", ["Acme Scaffolding Pty Ltd"], ["51 824 753 556"], ["Brisbane", "Q", None]), ("p", "Bare", None, None, None)], "org_id string, name string, names array<string>, identifiers array<string>, places array<string>")
+    page = spark.createDataFrame([("o", "a.com", "acme scaffolding of Brisbane, ABN 51824753556"), ("o", "b.com", "Acme  Scaffolding Pty Ltd. mail x@b.com"), ("o", "c.com", "Acme-Scaffolding everywhere x@c.com"), ("o", "d.com", None), ("p", "e.com", "nothing")], "org_id string, host string, text string")
+    out = v.verified(page, org)
+    got = {r["host"]: (r["score"], r["accepted"]) for r in out.collect()}
+    assert got == {"a.com": (1.0, True), "b.com": (0.9, True), "c.com": (0.7, False), "d.com": (0.0, False), "e.com": (0.0, False)}
+    tries = spark.createDataFrame([("o", "c.com", 1), ("o", "b.com", 2), ("o", "a.com", 3)], "org_id string, host string, rank int")
+    assert rows(v.discovered(tries, out), "org_id", "host") == {("o", "b.com")}
+
+
+def test_searches_and_lists(spark):
+    from ledgerloom.operators import verification as v
+
+    org = spark.createDataFrame([("1", "Acme", None, None), ("2", "Beta", "ACME Beta", None), ("3", "Gone acme", None, "1"), ("4", "Delta", None, " ")], "org_id string, canonical_name string, legal_name string, merged_into_id string")
+    ids = spark.createDataFrame([("4", "ac-me 1")], "org_id string, value string")
+    dom = spark.createDataFrame([("2", "acme.com"), (None, None)], "org_id string, domain string")
+    assert [r["org_id"] for r in v.entity_search(org, ids, dom, "acme").collect()] == ["1", "2", "4"] and v.entity_search(org, ids, dom, "acme", merged=True).count() == 4 and v.entity_search(org, ids, dom, "acme", most=1).count() == 1
+    o = spark.createDataFrame([("1", "phone", T(2), "b"), ("1", "phone", T(1), "a"), ("1", "email", T(1), "c"), ("9", "phone", T(1), "d")], "org_id string, predicate string, observed_at timestamp, observation_id string")
+    assert [r["observation_id"] for r in v.observations_for(o, org, "phone").collect()] == ["a", "b"]
+    assert rows(v.newest_of_each(o, "predicate", "observed_at", "observation_id", 1), "predicate", "observation_id") == {("phone", "b"), ("email", "c")} and v.newest(o, "observed_at", "observation_id", 1).first()["observation_id"] == "b"
+    assert v.collection_scope_problems(None) == [] and v.collection_scope_problems({"Token": 1, "endpoint_url": "https://u:p@x.com", "allowed_origins": ["https://x.com/", "https://x.com/path", "ftp://x"]}) == [
+        "secret token", "endpoint", "origin https://x.com/path", "origin ftp://x"] and v.collection_scope_problems({"allowed_origins": ["https://x.com"] * 21}) == ["origins"]
+    steps = spark.createDataFrame([("a", 1, "done"), ("b", 2, "todo"), ("c", 3, "attention")], "step string, place int, state string")
+    assert v.next_step(steps).first()["step"] == "c" and rows(v.state_counts(steps, {"done": F.col("state") == "done", "none": F.lit(None).cast("boolean")}), "step", "n") == {("done", 1), ("none", 0)}

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions.text import LEGAL_SUFFIXES
 
-# Digits of identifiers, words of streets, states, phrases of work done in house, words of contact forms, media types with text.
+# Digits of identifiers, words of streets, states, words of contact forms, media types with text, and the patterns of
+# identifiers, addresses and phrases of work done in house.
 IDENTIFIER_DIGITS = {"abn": 11, "acn": 9, "nzbn": 13}
 STREET_WORDS = ("Street", "St", "Road", "Rd", "Avenue", "Ave", "Drive", "Dr", "Court", "Ct", "Place", "Pl", "Parade", "Pde", "Highway", "Hwy", "Way", "Crescent", "Cres", "Boulevard", "Blvd",
                 "Circuit", "Cct", "Lane", "Ln", "Terrace", "Tce")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 LEGAL_SUFFIXES = ("pty", "ltd", "limited", "inc", "incorporated", "llc", "plc", "corp", "corporation", "gmbh", "bv", "nv")
 STOP_WORDS = ("a", "an", "and", "for", "of", "the")
 PUBLIC_EMAIL_DOMAINS = ("gmail.com", "hotmail.com", "icloud.com", "live.com", "outlook.com", "proton.me", "protonmail.com", "yahoo.com")
-ROLE_WORDS = ("info", "sales", "admin", "office", "enquiries", "contact", "accounts", "hello", "reception")
+ROLE_WORDS = ("estimating", "tenders", "design", "drafting", "engineering", "projects", "operations", "commercial", "procurement")
 HOST_ENDINGS = ("com.au", "net.au", "au", "com")
 
 

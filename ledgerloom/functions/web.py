@@ -285,11 +285,14 @@ def page_references(pages: DataFrame, key: str, url: str, html: str, images: int
 
 
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+#: Fixed value: what looks like an address but is none: names of pictures and hosts of examples and trackers.
+NO_EMAIL = r"\.(?:png|jpe?g|gif|svg|webp)$|@(?:example|sentry|wixpress|placeholder)\."
 PHONE = r"(?:\+61|\(0\d\)|\b0\d)[ .\-]?\d(?:[ .\-]?\d){6,8}\b"
 
 
 def emails_in(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({EMAIL})"), 1), F.lower)))
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"({EMAIL})"), 1), F.lower)
+    return F.array_sort(F.array_distinct(F.filter(found, lambda e: ~e.rlike(NO_EMAIL))))
 
 
 def phones_in(text: Column) -> Column:

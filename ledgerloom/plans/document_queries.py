@@ -81,7 +81,7 @@ QUERIES = {f.__name__: f for f in (document_emails, document_phones, document_vo
 
 _WINDOWS = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 SQL = {
-    "document_emails": rf"SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '{web.EMAIL}'))) AS email FROM documents",
+    "document_emails": rf"SELECT * FROM (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '{web.EMAIL}'))) AS email FROM documents) WHERE NOT regexp_matches(email, '{web.NO_EMAIL}')",
     "document_phones": rf"SELECT DISTINCT doc_id, regexp_replace(unnest(regexp_extract_all(text, '{web.PHONE}')), '[^0-9]', '', 'g') AS phone FROM documents",
     "document_vocabulary": " UNION ALL ".join(rf"SELECT doc_id, '{k}' AS term FROM documents WHERE regexp_matches(text, '{web.whole_words(v)}')" for k, v in VOCABULARY.items()),
     "exact_copies": "SELECT doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w AS copies FROM documents WINDOW w AS (PARTITION BY text)",

@@ -151,7 +151,7 @@ def test_web(spark):
     df = spark.createDataFrame([(1, "https://b.example", HTML), (2, None, None)], "k int, u string, h string")
     assert web.page_references(df, "k", "u", "h").count() == 3
     got = df.select(web.canonical_url("u"), web.social_profile(F.lit("x.com/acme")).alias("s"), web.page_text("h"), web.published_at("h")).collect()
-    assert got[0]["s"]["url"] == "https://www.x.com/acme" and got[1][0] is None
+    assert got[0]["s"]["url"] == "https://x.com/acme" and got[1][0] is None
     assert values(spark, web.emails_in(F.lit("A@b.co, a@B.co x")), web.phones_in(F.lit("call (07) 3333 1111 or +61 7 3333 1111"))) == [["a@b.co"], ["0733331111", "61733331111"]]
 
 

@@ -5,8 +5,8 @@ domain; how far it is to be sharpened or flattened is fitted on held-out documen
 far as all documents together bear it out, it gives each document a membership in every domain. Document rates between
 nought and the source's cap are then fitted by projected gradient steps until the expected tokens of each domain match its
 target. A step needs one number per domain from one pass over (tokens, memberships); the rates are never stored, as each is
-a short formula of the memberships and the steps so far. As what is owed is a share by written source, the descent then goes
-on with the labels alone as memberships. At last rates become whole numbers of uses.
+a short formula of the memberships and the steps so far. As what is owed is a share by written source, the rates of
+each source are then shifted onto its goal. At last rates become whole numbers of uses.
 """
 
 from __future__ import annotations
@@ -216,6 +216,30 @@ def fitted_rates(documents: DataFrame, q: Column, start: Column, goals: np.ndarr
     return current()
 
 
+def label_rates(documents: DataFrame, goals: dict[str, float], caps: dict[str, float], within: float = CONVERGED, steps: int = STEPS) -> Column:
+    """``rate`` of ``documents`` projected onto the goals by label: one shift for all rates of a domain, cut at nought and its cap, so
+    that its tokens come to the goal. A pass gives each domain's tokens and those that a shift still moves, from which the
+    next shift follows; as tokens fall with the shift in straight pieces, a few passes do."""
+    shifts = dict.fromkeys(goals, 0.0)
+    cap = _by_domain(caps)
+    whole = max(sum(goals.values()), 1.0)
+
+    def shifted() -> Column:
+        return F.greatest(F.lit(0.0), F.least(cap, F.col("rate") - _by_domain(shifts)))
+
+    for _ in range(steps):
+        moving = F.when((F.col("r") > 0) & (F.col("r") < F.col("cap")), F.col("tokens")).otherwise(0)
+        got = documents.select("domain", "tokens", shifted().alias("r"), cap.alias("cap")).groupBy("domain").agg(
+            F.sum(F.col("r") * F.col("tokens")).alias("held"), F.sum(moving).alias("moving"), F.sum("tokens").alias("all")).collect()  # one row per domain
+        off = {r["domain"]: (r["held"] - goals[r["domain"]]) for r in got if r["domain"] in goals}
+        if all(abs(x) <= within * whole / max(len(goals), 1) for x in off.values()):
+            break
+        for r in got:
+            if r["domain"] in goals and r["all"]:
+                shifts[r["domain"]] += off[r["domain"]] / (r["moving"] or r["all"])
+    return shifted()
+
+
 def mixed_documents(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total_tokens: float | None = None) -> DataFrame:
     """``(doc_id, source, tokens, repeats)`` of every document used, ``repeats`` times from 1 to its source's cap.
 
@@ -248,8 +272,7 @@ def mixed_documents(documents: DataFrame, targets: DataFrame, tokenizer: str = T
     soft = stash.put(soft)
     soft = soft.withColumn("rate", fitted_rates(soft, F.col("q"), F.lit(float(size / sum(have[s] for s in live))), goals, caps, domains, SOFTLY))
     settled = stash.put(soft.select("doc_id", "domain", "tokens", "rate"))
-    own = F.transform(F.array(*[F.lit(d) for d in domains]), lambda d: (d == F.col("domain")).cast("double"))
-    rate = fitted_rates(settled, own, F.col("rate"), goals, caps, domains)
+    rate = label_rates(settled, {s: size * v / whole for s, v in live.items()}, caps)
     rated = settled.select("doc_id", F.col("domain").alias("source"), "tokens", rate.alias("rate"))
     return whole_uses(rated)
 

@@ -241,6 +241,19 @@ def test_descent_meets_the_goals(spark):
     assert all(abs(sum(x["r"] * x["tokens"] * x["q"][k] for x in got) - goals[k]) <= mixing.CONVERGED * 30000 for k in range(3))
 
 
+def test_rates_are_shifted_onto_the_goals_by_label(spark):
+    r = random.Random(7)
+    rows = [(i, "abc"[i % 3], r.randrange(10, 200), r.choice([0.0, 0.2, 0.9, 1.0])) for i in range(600)] + [(900, "d", 50, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, domain string, tokens bigint, rate double")
+    have = {d: sum(x[2] for x in rows if x[1] == d) for d in "abc"}
+    goals = {"a": 0.1 * have["a"], "b": 0.97 * have["b"], "c": 2.5 * have["c"]}
+    caps = {"a": 1.0, "b": 1.0, "c": 3.0}
+    got = df.where("domain <> 'd'").withColumn("r", mixing.label_rates(df.where("domain <> 'd'"), goals, caps)).collect()
+    assert all(0 <= x["r"] <= caps[x["domain"]] for x in got)
+    assert all(abs(sum(x["r"] * x["tokens"] for x in got if x["domain"] == d) - g) <= mixing.CONVERGED * sum(goals.values()) for d, g in goals.items())
+    assert df.limit(0).withColumn("r", mixing.label_rates(df.limit(0), goals, caps)).count() == 0
+
+
 def test_whole_uses_keep_totals(spark):
     r = random.Random(3)
     rows = [(i, r.choice("ab"), r.randrange(1, 500), r.choice([0.0, 0.3, 0.77, 1.0, 2.4])) for i in range(2000)]

@@ -40,13 +40,15 @@ def connected_components(edges: DataFrame, src: str, dst: str, stash: Stash | No
     while before[0]:
         both = work.unionByName(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        mid = own.put(large)
+        down = mid.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small = _with_least(down)
         after, now = put(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct())
         own.drop(work)
+        own.drop(mid)
         work = after
         if now == before:
             break
